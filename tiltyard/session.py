@@ -56,3 +56,11 @@ def cut(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataF
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the catalogue folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *by: str, per_core: int = 3) -> DataFrame:
+    """df in enough partitions to keep every core busy with Python work; unchanged where it has them already."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if have >= 2 * want else df.repartition(per_core * want, *by)
