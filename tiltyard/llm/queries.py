@@ -5,14 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltyard.llm import pairs, truncated
+from tiltyard.llm import mapping, matching, pairs, truncated
 from tiltyard.session import table
 
 
+def _p2(spark: SparkSession, sf: str) -> DataFrame:
+    return matching.match_documents(table(spark, sf, "scraped_changes"), table(spark, sf, "machines"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2(spark, sf).select("group_id", "document_id")
+
+
+def p2_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    return _p2(spark, sf)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.defects(table(spark, sf, "eval_answers"), "result_id", "question", "answer_text")
 
 
+def _p6(spark: SparkSession, sf: str) -> DataFrame:
+    return mapping.p6(table(spark, sf, "alias_entries"), table(spark, sf, "doc_stats"), table(spark, sf, "canonical_values"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p6(spark, sf).select("table_name", "field_name", "row_id", "canon_key")
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    """The unmatched values with their number of rows, for those who keep the lists."""
+    return _p6(spark, sf).filter(F.col("canon_key") == mapping.UNMATCHED).groupBy("table_name", "field_name", "value").agg(F.count("*").alias("rows"), F.round(F.max("score"), 4).alias("best_score"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source").filter("cut").select("doc_id")
 
@@ -21,5 +46,5 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.by_source(truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p10_found, p10_sources)}
 ORACLE: dict[str, str] = {}
