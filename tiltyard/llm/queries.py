@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltyard.llm import mapping, matching, pairs, truncated
+from tiltyard.llm import mapping, matching, pairs, scanned, truncated
 from tiltyard.session import table
 
 
@@ -38,6 +38,14 @@ def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
     return _p6(spark, sf).filter(F.col("canon_key") == mapping.UNMATCHED).groupBy("table_name", "field_name", "value").agg(F.count("*").alias("rows"), F.round(F.max("score"), 4).alias("best_score"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scanned.repaired(table(spark, sf, "chunks")).select("chunk_id", F.explode("noise").alias("noise"))
+
+
+def p7_text(spark: SparkSession, sf: str) -> DataFrame:
+    return scanned.repaired(table(spark, sf, "chunks")).select("chunk_id", "text")
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source").filter("cut").select("doc_id")
 
@@ -46,5 +54,5 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.by_source(truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p7_found, p7_text, p10_found, p10_sources)}
 ORACLE: dict[str, str] = {}
