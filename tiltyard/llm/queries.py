@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltyard.llm import mapping, matching, pairs, scanned, truncated
+from tiltyard.llm import leaks, mapping, matching, packing, pairs, scanned, truncated
 from tiltyard.session import table
 
 
@@ -46,6 +46,23 @@ def p7_text(spark: SparkSession, sf: str) -> DataFrame:
     return scanned.repaired(table(spark, sf, "chunks")).select("chunk_id", "text")
 
 
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _p9(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_items"), "doc_id", "text", "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _p9(spark, sf).select("item_id", "doc_id")
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Which items leaked, and into how many documents."""
+    return _p9(spark, sf).groupBy("item_id").agg(F.count("*").alias("docs"), F.max("runs").alias("most_runs"))
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source").filter("cut").select("doc_id")
 
@@ -54,5 +71,16 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.by_source(truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p7_found, p7_text, p10_found, p10_sources)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p7_found, p7_text, p8_containers, p9_found, p9_items, p10_found, p10_sources)}
+_P9 = """
+with w as (select item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) ws from heldout_items),
+     d as (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) ws from documents),
+     gi as (select distinct item_id, array_to_string(ws[k:k + 12], ' ') g from w, unnest(range(1, len(ws) - 11)) r(k)),
+     gd as (select doc_id, array_to_string(ws[k:k + 12], ' ') g from d, unnest(range(1, len(ws) - 11)) r(k))"""
+
+ORACLE: dict[str, str] = {
+    "p9_found": _P9 + " select distinct item_id, doc_id from gi join gd using (g)",
+    "p9_items": _P9
+    + """, per as (select item_id, doc_id, count(distinct gd.g) n from gi join gd using (g) group by 1, 2)
+    select item_id, count(*) as docs, max(n) as most_runs from per group by 1""",
+}
