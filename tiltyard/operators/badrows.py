@@ -1,7 +1,7 @@
 """Rows that fail to parse: bulk parsing of record blocks, bisection of failing blocks, strict diagnosis of single lines.
 
 A block of lines takes the columnar path (one Arrow CSV parse and vectorised value checks). A block that fails there is
-halved until it passes or is one line; a single failing line goes to the strict parser, which names the reason.
+halved until it passes or is a few lines, which go to the strict parser one by one; it names the reason.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class RecordSpec:
     fields: tuple[Field, ...]
     header_first: str
     block: int = 512
+    leaf: int = 16  # lines of a failing block that are no longer halved but diagnosed one by one
     checks: tuple[Field, ...] = field(default=())
 
     @property
@@ -154,12 +155,12 @@ def _bulk(lines: pa.Array, spec: RecordSpec) -> list[pa.Array] | None:
 def _parse_block(ids: pa.Array, lines: pa.Array, spec: RecordSpec, patterns: dict, out: list) -> None:
     """Appends (ids, reasons, columns) of the block to out, halving it where the fast path fails."""
     n = len(lines)
-    cols = _bulk(lines, spec)
+    cols = _bulk(lines, spec) if n > spec.leaf // 4 else None
     if cols is not None:
         out.append((ids, pa.nulls(n, pa.string()), cols))
-    elif n == 1:
-        reason, parts = diagnose(lines[0].as_py(), spec, patterns)
-        out.append((ids, pa.array([reason], pa.string()), [pa.array([parts[k] if parts else None], pa.string()) for k in range(len(spec.fields))]))
+    elif n <= spec.leaf:
+        got = [diagnose(x, spec, patterns) for x in lines.to_pylist()]
+        out.append((ids, pa.array([r for r, _ in got], pa.string()), [pa.array([p[k] if p else None for _, p in got], pa.string()) for k in range(len(spec.fields))]))
     else:
         h = n // 2
         _parse_block(ids[:h], lines[:h], spec, patterns, out)
