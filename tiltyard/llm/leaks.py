@@ -24,8 +24,8 @@ K1, B = 1.2, 0.75
 
 
 def tokenize(text: str) -> list[str]:
-    """Runs of ASCII letters and digits, lower case."""
-    return [w.lower() for w in _WORD.findall(text)]
+    """Runs of ASCII letters and digits, lower case. (Lower case of other letters may be ASCII: they must part words first.)"""
+    return _WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in _WORD.findall(text)]
 
 
 class Postings:
@@ -109,6 +109,24 @@ class ItemIndex:
             cur = [c for c in cur if c[0] != math.inf]
         return out
 
+    def _stretches(self, ws: list[str]) -> Iterator[tuple[int, int]]:
+        """(first, last) of the stretches of `run` or more words that all have postings: no other passage can hold a run."""
+        known, run = self.postings, self.run
+        at, n = 0, len(ws)
+        while at + run <= n:
+            # the last word of the next possible run decides first, so that most words are never looked at
+            k = at + run - 1
+            while k >= at and ws[k] in known:
+                k -= 1
+            if k >= at:
+                at = k + 1
+                continue
+            end = at + run
+            while end < n and ws[end] in known:
+                end += 1
+            yield at, end
+            at = end + 1
+
     def leaked(self, text: str, window: int = 64) -> dict[int, tuple[float, int]]:
         """item -> (best passage score, leaked runs) of the items of which the text holds `run` consecutive words.
 
@@ -117,16 +135,17 @@ class ItemIndex:
         ws = tokenize(text)
         out: dict[int, tuple[float, int]] = {}
         step = window - self.run + 1
-        for at in range(0, max(1, len(ws) - self.run + 1), step):
-            part = ws[at : at + window]
-            hits = self.wand(set(part))
-            if not hits:
-                continue
-            grams = {tuple(part[k : k + self.run]) for k in range(len(part) - self.run + 1)}
-            for i, score in hits:
-                if score >= self.least[i] and (n := len(grams & self.runs[i])):
-                    best, had = out.get(i, (0.0, 0))
-                    out[i] = (max(best, score), had + n)
+        for first, last in self._stretches(ws):
+            for at in range(first, last - self.run + 1, step):
+                part = ws[at : min(at + window, last)]
+                hits = self.wand(set(part))
+                if not hits:
+                    continue
+                grams = {tuple(part[k : k + self.run]) for k in range(len(part) - self.run + 1)}
+                for i, score in hits:
+                    if score >= self.least[i] and (n := len(grams & self.runs[i])):
+                        best, had = out.get(i, (0.0, 0))
+                        out[i] = (max(best, score), had + n)
         return {self.keys[i]: v for i, v in out.items()}
 
 
