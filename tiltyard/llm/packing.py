@@ -1,8 +1,8 @@
 """Filling fixed-capacity containers with texts: harmonic packing.
 
 A text of s tokens belongs to class k where capacity/(k+1) < s <= capacity/k, and k texts of class k fill a container. Workers
-fill containers of their own texts independently; texts of the last class (at most capacity/classes) first fill the space
-that the others leave. Containers that a worker can't fill are packed again with those of other workers, in rounds over groups
+fill containers of their own texts independently, large classes first; texts of the smaller classes go first, by best fit, to
+the space that larger ones leave, those of the last class (at most capacity/classes) altogether. Containers that a worker can't fill are packed again with those of other workers, in rounds over groups
 of workers, so that no task holds more than its share.
 """
 
@@ -61,7 +61,19 @@ def harmonic(items: list[tuple], sizes: list[int], capacity: int, classes: int,
     n = 0
     rest: list[int] = []
     for k in range(1, classes):
-        ps = by.get(k, [])
+        ps = sorted(by.get(k, []), key=lambda p: (-sizes[p], p))
+        if free and k > 1:
+            # what fits into the space that larger classes leave goes there
+            left = []
+            for p in ps:
+                at = bisect_left(free, (sizes[p], -1))
+                if at < len(free):
+                    space, b = free.pop(at)
+                    out.append((p, b))
+                    insort(free, (space - sizes[p], b))
+                else:
+                    left.append(p)
+            ps = left
         full = len(ps) // k * k
         for at in range(0, full, k):
             chosen = ps[at : at + k]
