@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiltyard.llm import endings
@@ -30,13 +30,12 @@ def measures(t: str) -> list[int]:
 def hidden_limits(ends: DataFrame, source: str, least: int = 5, share: float = 0.02, over: float = 12.0) -> DataFrame:
     """(source, encoding, size, texts): lengths at which unfinished texts of a source pile up.
 
-    ends has the source, the kind of ending and a map of measures. A length is a limit where at least `least` unfinished texts
+    ends has the source, whether a text breaks off as its ending shows, and a map of measures. A length is a limit where at least `least` unfinished texts
     and `share` of the source's unfinished texts have it, and it holds `over` times what its 64 neighbours hold on average.
     Of several encodings the one with the highest pile is kept for each source. Counting is by (source, encoding, length):
     partial sums, then one row per length.
     """
-    u = ends.filter("kind in ('open', 'markup', 'marker', 'dots')")
-    h = u.select(source, F.explode("sizes").alias("encoding", "size")).groupBy(source, "encoding", "size").agg(F.count("*").alias("texts"))
+    h = ends.filter("broken").select(source, F.explode("sizes").alias("encoding", "size")).groupBy(source, "encoding", "size").agg(F.count("*").alias("texts"))
     w = "partition by {0}, encoding order by size range between {1} preceding and {1} following".format(source, 32)
     near = h.select("*", F.expr(f"sum(texts) over ({w})").alias("near"), F.expr(f"sum(texts) over (partition by {source}, encoding)").alias("total"))
     piles = near.filter((F.col("texts") >= least) & (F.col("texts") >= share * F.col("total")) & (F.col("texts") >= over * (F.col("near") - F.col("texts")) / 64))
@@ -77,22 +76,23 @@ def cut_texts(df: DataFrame, row: str, text: str, source: str) -> DataFrame:
     """
     df = spread(df.select(row, text, source), row)
     ends = inspect(df, row, text, source)
-    limits = hidden_limits(ends, source).select(F.col(source).alias("_ls"), F.col("encoding"), F.col("size"))
     rated = endings.with_rates(ends, df, text, row)
+    line, end, head, word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("line_rate", "end_rate", "head_rate", "word_rate"))
+
+    def broken(at: Column) -> Column:
+        whole_line = (head >= F.when(at, 0.8).otherwise(0.5)) & (word > 0.02)
+        whole_end = ~at & (line >= 0.7) & (F.col("head_rate").isNull() | (head >= 0.2))
+        by_kind = F.when(F.col("kind").isin("blank", "stop"), False).when(F.col("kind").isin("marker", "markup"), True)
+        return by_kind.when(F.col("kind") == "dots", end < 0.4).otherwise(~whole_line & ~whole_end)
+
+    rated = cut(rated.withColumn("broken", broken(F.lit(False))).drop("keys"), "rated")
+    limits = hidden_limits(rated, source).select(F.col(source).alias("_ls"), F.col("encoding"), F.col("size"))
     # a store that counts bytes drops the rest of a character it would have to split
     slack = F.when(F.col("encoding").startswith("utf8"), 3).otherwise(0)
     size = F.element_at("sizes", F.col("encoding"))
     j = rated.join(limits, F.col(source).eqNullSafe(F.col("_ls")), "left")
     at = F.coalesce(size.between(F.col("size") - slack, F.col("size")), F.lit(False))
-    line, end, head, word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("line_rate", "end_rate", "head_rate", "word_rate"))
-    whole_line = (head >= F.when(at, 0.8).otherwise(0.5)) & (word > 0.02)
-    whole_end = ~at & (line >= 0.7) & (F.col("head_rate").isNull() | (head >= 0.2))
-    is_cut = (
-        F.when(F.col("kind").isin("blank", "stop"), False)
-        .when(F.col("kind").isin("marker", "markup"), True)
-        .when(F.col("kind") == "dots", end < 0.4)
-        .otherwise(~whole_line & ~whole_end)
-    )
+    is_cut = broken(at)
     return j.select(row, source, "kind", is_cut.alias("cut"), at.alias("at_limit"), "encoding", "size", "line_rate", "end_rate", "head_rate", "word_rate")
 
 
