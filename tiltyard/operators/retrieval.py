@@ -62,12 +62,12 @@ def tokens(df: DataFrame, row: str, text: str) -> DataFrame:
 def bm25(df: DataFrame, row: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(row, score) of the rows that hold a query word. Only query words are counted per row; length and row count come from one pass."""
     t = df.select(row, F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: x != "").alias("_t")).withColumn("_n", F.size("_t"))
-    stats = t.agg(F.count("*").alias("n"), F.avg("_n").alias("mean"))
+    n, mean = t.agg(F.count("*"), F.avg("_n")).first()
     tf = t.select(row, "_n", F.explode(F.array(*(F.struct(F.lit(q).alias("t"), F.size(F.filter("_t", lambda x: x == q)).alias("tf")) for q in dict.fromkeys(query)))).alias("q")).select(row, "_n", "q.t", "q.tf").filter("tf > 0")
     df_ = tf.groupBy("t").agg(F.count("*").alias("df"))
-    j = tf.join(F.broadcast(df_), "t").join(F.broadcast(stats))  # one row per query word, and one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_n") / F.col("mean")))
+    j = tf.join(F.broadcast(df_), "t")  # one row per query word
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_n") / F.lit(mean or 1.0)))
     return j.groupBy(row).agg(F.sum(s).alias("score"))
 
 
