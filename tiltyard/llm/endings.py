@@ -29,6 +29,7 @@ CLOSERS = "\"'”’»)]}*_`"
 
 # Multipliers of the rolling hash: odd 64-bit constants.
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_SLICE = 1_000_000  # tokens counted at a time, so that long texts don't fill a worker's memory
 _BITS = 22  # size of the candidate filter: 2 ** 22 bits, 512 KB whatever the data
 
 
@@ -90,11 +91,42 @@ def follow_counts(df: DataFrame, text: str, wanted: bytes) -> DataFrame:
     batch counts its own, so the shuffle carries one row per wanted run and batch. Null texts count nothing.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+    def count(col: list[int], hashes: _Hashes) -> pa.RecordBatch:
         bits = np.frombuffer(wanted, np.uint8)
         stops = np.array([hashes[t] for t in sorted(TERMINALS)], np.uint64)
         nl = np.uint64(hashes["\n"])
+        h = np.array(col, np.uint64)
+        eot = h == np.uint64(hashes["\x00"])
+        stop, line = np.isin(h, stops), h == nl
+        k2, k3 = _mix(h[:-1], h[1:]), _mix(h[:-2], h[1:-1], h[2:])
+        k5 = _mix(k3[:-2].view(np.uint64), h[3:-1], h[4:])
+        nxt_stop, nxt_line, nxt_eot = (np.append(x[1:], False) for x in (stop, line, eot))
+        one, two = np.full(len(h), 1, np.uint64), np.full(len(h), 2, np.uint64)
+        at = np.flatnonzero(line | stop)
+        ends = np.append(at[1:], len(h))
+        # units of two tokens or more which a full stop or a line end closes
+        ok = (ends < len(h)) & (ends - at > 2)
+        at, ends = at[ok], ends[ok]
+        seen = np.append(0, np.cumsum(eot))
+        inner = seen[ends] == seen[at + 1]
+        at, ends = at[inner], ends[inner]
+        kh = _mix(h[at + 1], h[at + 2], one[: len(at)], two[: len(at)]) if len(at) else np.zeros(0, np.int64)
+        hs = stop[ends] | stop[ends - 1] if len(at) else np.zeros(0, bool)
+        k = np.concatenate([k2, k3, k5, kh])
+        term = np.concatenate([nxt_stop[1:], nxt_stop[2:], nxt_stop[4:], hs])
+        ln = np.concatenate([nxt_line[1:], nxt_line[2:], nxt_line[4:], ~hs])
+        last = np.concatenate([nxt_eot[1:], nxt_eot[2:], nxt_eot[4:], np.zeros(len(kh), bool)])
+        q = k & ((1 << _BITS) - 1)
+        keep = ((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool) & ~last
+        k, term, ln = k[keep], term[keep], ln[keep]
+        u, inv = np.unique(k, return_inverse=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(u), *(pa.array(np.bincount(inv, w, len(u)).astype(np.int64)) for w in (np.ones(len(k)), term, ln))],
+            ["k", "n", "term", "line"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
         for b in batches:
             if len(hashes) > 2_000_000:
                 hashes = _Hashes()
@@ -104,37 +136,11 @@ def follow_counts(df: DataFrame, text: str, wanted: bytes) -> DataFrame:
                     col.append(hashes["\n"])
                     col += [hashes[x] for x in tokens(t.strip())]
                     col.append(hashes["\x00"])
-            if len(col) < 5:
-                continue
-            h = np.array(col, np.uint64)
-            eot = h == np.uint64(hashes["\x00"])
-            stop, line = np.isin(h, stops), h == nl
-            k2, k3 = _mix(h[:-1], h[1:]), _mix(h[:-2], h[1:-1], h[2:])
-            k5 = _mix(k3[:-2].view(np.uint64), h[3:-1], h[4:])
-            nxt_stop, nxt_line, nxt_eot = (np.append(x[1:], False) for x in (stop, line, eot))
-            one, two = np.full(len(h), 1, np.uint64), np.full(len(h), 2, np.uint64)
-            at = np.flatnonzero(line | stop)
-            ends = np.append(at[1:], len(h))
-            # units of two tokens or more which a full stop or a line end closes
-            ok = (ends < len(h)) & (ends - at > 2)
-            at, ends = at[ok], ends[ok]
-            seen = np.append(0, np.cumsum(eot))
-            inner = seen[ends] == seen[at + 1]
-            at, ends = at[inner], ends[inner]
-            kh = _mix(h[at + 1], h[at + 2], one[: len(at)], two[: len(at)]) if len(at) else np.zeros(0, np.int64)
-            hs = stop[ends] | stop[ends - 1] if len(at) else np.zeros(0, bool)
-            k = np.concatenate([k2, k3, k5, kh])
-            term = np.concatenate([nxt_stop[1:], nxt_stop[2:], nxt_stop[4:], hs])
-            ln = np.concatenate([nxt_line[1:], nxt_line[2:], nxt_line[4:], ~hs])
-            last = np.concatenate([nxt_eot[1:], nxt_eot[2:], nxt_eot[4:], np.zeros(len(kh), bool)])
-            q = k & ((1 << _BITS) - 1)
-            keep = ((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool) & ~last
-            k, term, ln = k[keep], term[keep], ln[keep]
-            u, inv = np.unique(k, return_inverse=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(u), *(pa.array(np.bincount(inv, w, len(u)).astype(np.int64)) for w in (np.ones(len(k)), term, ln))],
-                ["k", "n", "term", "line"],
-            )
+                if len(col) > _SLICE:
+                    yield count(col, hashes)
+                    col = []
+            if len(col) >= 5:
+                yield count(col, hashes)
 
     counts = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "k long, n long, term long, line long")
     return counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("term").alias("term"), F.sum("line").alias("line"))
