@@ -18,6 +18,8 @@ from pyarrow import csv
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tiltyard.session import spread
+
 
 @dataclass(frozen=True)
 class Field:
@@ -196,7 +198,7 @@ def parse_records(df: DataFrame, id_col: str, line_col: str, spec: RecordSpec) -
                     ["id", "reason"] + [f"f{k}" for k in range(len(spec.fields))],
                 )
 
-    return df.select(F.col(id_col).alias("id"), F.col(line_col).alias("line")).mapInArrow(run, schema)
+    return spread(df.select(F.col(id_col).alias("id"), F.col(line_col).alias("line")), "id").mapInArrow(run, schema)
 
 
 def typed(parsed: DataFrame, spec: RecordSpec, id_name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -59,8 +60,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *by: str, per_core: int = 3) -> DataFrame:
-    """df in enough partitions to keep every core busy with Python work; unchanged where it has them already."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= 2 * want else df.repartition(per_core * want, *by)
+    """df in enough partitions to keep every core busy with Python work; unchanged where a plain scan has them already.
+
+    Behind a shuffle the partitions are never counted, as that would run it: AQE may have drawn them together, so they are
+    made anew by key.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    shuffled = re.search(r"(?m)^[\s:+|-]*(?:Aggregate|Join|Sort|Window|Repartition|RebalancePartitions|Deduplicate|Distinct|GlobalLimit)", plan)
+    if not shuffled and df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * want:
+        return df
+    return df.repartition(per_core * want, *by)
