@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tiltyard.operators import answers, linker, sinks
+from tiltyard.operators import answers, linker, retrieval, sinks
 from tiltyard.plans.registry import Registry
 from tiltyard.session import scratch
 from tiltyard.session import table as T
@@ -98,4 +99,50 @@ def dead_letter_rows(s: SparkSession, d: str) -> DataFrame:
     return sinks.dead_letters(T(s, d, "dead_letters").withColumnRenamed("attempt_count", "prior"), "letter_id", "error_class", "error_message", "prior")
 
 
+@q("""select user_id, event_id, back::int as back from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) back from events) where back <= 5""")
+def turn_window(s: SparkSession, d: str) -> DataFrame:
+    """The last five turns of each conversation (here: events of a user)."""
+    w = W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    return T(s, d, "events").select("user_id", "event_id", "ts").withColumn("back", F.row_number().over(w)).filter("back <= 5").select("user_id", "event_id", "back")
+
+
+@q("""select user_id, arg_max(event_id, (ts, event_id)) filter (event_type = 'purchase') as last_purchase from events group by 1""")
+def last_with_citations(s: SparkSession, d: str) -> DataFrame:
+    """The last turn of each conversation that meets a condition."""
+    at = F.when(F.col("event_type") == "purchase", F.struct("ts", "event_id"))
+    return T(s, d, "events").groupBy("user_id").agg(F.max_by("event_id", at).alias("last_purchase"))
+
+
+@q("""with t as (select hit_id, max(score) score, max(coalesce(page_end, 0) - coalesce(page_start, 0)) span from search_hits where score is not null group by 1), r as (select *, row_number() over (order by score desc, hit_id) r from t order by score desc, hit_id limit 50)
+    select hit_id, r::int as rank, row_number() over (order by case when r <= 5 then 0 else 1 end, case when r <= 5 then -span else 0 end, r)::int as new_rank from r""")
+def rerank_topn(s: SparkSession, d: str) -> DataFrame:
+    """The first five of a ranking ordered anew by another score, the others behind them as they were."""
+    t = T(s, d, "search_hits").filter("score is not null").groupBy("hit_id").agg(F.max("score").alias("score"), F.max(F.coalesce("page_end", F.lit(0)) - F.coalesce("page_start", F.lit(0))).cast("double").alias("span"))
+    r = retrieval.ranked(t, "hit_id", "score", 50)
+    return retrieval.rerank(r, "rank", "span", 5).select("hit_id", "rank", "new_rank")
+
+
+@q("""select opdb_id, i::int as pos, designers[i + 1] as designer, n as machines from (select distinct opdb_id, designers from machines), unnest(range(0, len(designers))) u(i) left join (select x, count(distinct opdb_id) n from (select opdb_id, unnest(designers) x from machines) group by 1) k on k.x = designers[i + 1]""")
+def array_position_join(s: SparkSession, d: str) -> DataFrame:
+    """Arrays joined by position: each designer of a machine with their number of machines."""
+    m = T(s, d, "machines").select("opdb_id", "designers").distinct()
+    e = m.select("opdb_id", F.posexplode("designers").alias("pos", "designer"))
+    return e.join(e.groupBy("designer").agg(F.count_distinct("opdb_id").alias("machines")), "designer", "left").select("opdb_id", "pos", "designer", "machines")
+
+
+@q("""select title, array_to_string(list_sort(list_distinct(list_transform(string_split(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: {'n': -len(w), 'w': w})))[1:2].list_transform(lambda x: x.w), ' ') as probes from (select distinct title from machines)""")
+def longest_tokens(s: SparkSession, d: str) -> DataFrame:
+    """The two longest words of a title: what a fallback search probes with."""
+    ws = F.split(F.trim(F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")), " ")
+    best = F.slice(F.array_sort(F.array_distinct(F.transform(ws, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))), 1, 2)
+    return T(s, d, "machines").select("title").distinct().select("title", F.array_join(F.transform(best, lambda x: x["w"]), " ").alias("probes"))
+
+
+@q("""select user_id, min(ts) as start, count(*) as n from (select *, sum(b) over (partition by user_id order by ts, event_id) g from (select *, (coalesce(ts - lag(ts) over (partition by user_id order by ts, event_id) >= interval '30 minutes', true))::int b from events)) group by user_id, g""")
+def session_windows(s: SparkSession, d: str) -> DataFrame:
+    """Sessions of events no further apart than half an hour: an extension that streams share."""
+    e = T(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n"))
+    return e.select("user_id", "start", "n")
+
+
 QUERIES, ORACLE = q.queries, q.oracle
