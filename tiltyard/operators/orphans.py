@@ -65,7 +65,14 @@ def direct_orphans(df: DataFrame, e: Edge, spans: DataFrame) -> DataFrame:
     alive = F.exists("spans", lambda s: (F.col("t") >= s["a"]) & (s["b"].isNull() | (F.col("t") < s["b"])))
     reason = F.when(F.col("spans").isNull(), "missing").when(F.coalesce(alive, F.lit(False)), F.lit(None)).when(F.col("t") < F.col("first"), "late").otherwise("deleted")
     out = j.select(F.lit(e.child).alias("table_name"), F.lit(e.field).alias("field_name"), "row", "key", "t", reason.alias("reason"))
-    return out.filter("reason is not null").dropDuplicates(["row"])
+    return _once(out.filter("reason is not null"))
+
+
+def _once(refs: DataFrame) -> DataFrame:
+    """One reference per row: of rows written several times, the earliest time, then the first reason and key."""
+    rest = [c for c in refs.columns if c not in ("table_name", "field_name", "row", "t", "reason", "key")]
+    g = refs.groupBy("table_name", "field_name", "row").agg(F.min(F.struct("t", "reason", "key", *rest)).alias("m"))
+    return g.select(*(c if c in ("table_name", "field_name", "row") else F.col(f"m.{c}").alias(c) for c in refs.columns))
 
 
 def cascade(tables: dict[str, DataFrame], parents: dict[str, Parent], edges: list[Edge], max_rounds: int = 20) -> DataFrame:
@@ -99,8 +106,8 @@ def cascade(tables: dict[str, DataFrame], parents: dict[str, Parent], edges: lis
                 continue
             for e in (x for x in edges if x.parent == n):
                 known = result.filter((F.col("table_name") == e.child) & (F.col("field_name") == e.field)).select("row")
-                refs = _refs(tables[e.child], e).join(keys, "key", "left_semi").join(known, "row", "left_anti").dropDuplicates(["row"])
-                r = refs.select(F.lit(e.child).alias("table_name"), F.lit(e.field).alias("field_name"), "row", "key", "t", F.lit("inherited").alias("reason"), F.lit(depth).alias("depth"))
+                refs = _refs(tables[e.child], e).join(keys, "key", "left_semi").join(known, "row", "left_anti")
+                r = _once(refs.select(F.lit(e.child).alias("table_name"), F.lit(e.field).alias("field_name"), "row", "key", "t", F.lit("inherited").alias("reason"), F.lit(depth).alias("depth")))
                 fresh = r if fresh is None else fresh.unionByName(r)
         if fresh is None:
             break

@@ -93,8 +93,29 @@ with l as (select row_id, raw_line x from ratings_raw where trim(raw_line) <> ''
         when per <> '' and (not regexp_full_match(per, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or try_cast(per as date) is null) then 'last_rating_period' end reason from n)
 """
 
+_P1_REPORT = """
+with spans as (select distinct 'd' p, lower(trim(document_id)) k, first_recorded_utc a, removed_utc b from index_state union all select distinct 'm', lower(trim(opdb_id)), first_seen_at, removed_at from machines),
+     refs as (select 'index_state' table_name, 'machine_id' field_name, document_id r, lower(trim(machine_id)) k, first_recorded_utc t, 'm' p from index_state
+        union all select 'search_hits', 'document_id', hit_id::varchar, lower(trim(document_id)), retrieved_at, 'd' from search_hits
+        union all select 'search_hits', 'machine_id', hit_id::varchar, lower(trim(machine_id)), retrieved_at, 'm' from search_hits
+        union all select 'dead_letters', 'document_id', letter_id::varchar, lower(trim(document_id)), last_attempt_utc, 'd' from dead_letters
+        union all select 'chunks', 'document_id', chunk_id, lower(trim(document_id)), last_scraped_utc, 'd' from chunks),
+     judged as (select r.table_name, r.field_name, r.r, r.k, r.t, r.p, count(s.k) n, min(s.a) f, coalesce(bool_or(r.t >= s.a and (s.b is null or r.t < s.b)), false) ok
+        from refs r left join spans s on r.p = s.p and r.k = s.k where r.k is not null and r.k <> '' group by all),
+     direct as (select table_name, field_name, r, t, case when n = 0 then 'missing' when t < f then 'late' else 'deleted' end reason from judged where not ok
+        qualify row_number() over (partition by table_name, field_name, r order by t nulls first, reason) = 1),
+     inherited as (select table_name, field_name, r, t, 'inherited' reason from judged j where p = 'd' and k in (select lower(trim(r)) from direct where table_name = 'index_state')
+        and not exists (select 1 from direct d where d.table_name = j.table_name and d.field_name = j.field_name and d.r = j.r)
+        qualify row_number() over (partition by table_name, field_name, r order by t nulls first) = 1),
+     every as (select *, 1 d, 0 i from direct union all select *, 0, 1 from inherited)
+select table_name, field_name, strftime(t, '%Y-%m') as period, reason, sum(d)::bigint as direct, sum(i)::bigint as inherited from every group by all"""
+
+_SENT = "arg_max_null({0}, c.p) filter (lower(op) in ('insert', 'i', 'create') or {0} is not null) as {0}"
+
 ORACLE = {
     "p1_found": _P1,
+    "p1_report": _P1_REPORT,
+    "p4_state": _P4.format(cols=", " + ", ".join(_SENT.format(v) for v in ("content_hash", "last_scraped_utc", "document_type"))),
     "p4_found": _P4.format(cols=", max_by(content_hash, c.p) filter (content_hash is not null) as content_hash"),
     "p5_found": _LINES + "select row_id, reason from r where reason is not null",
     "p5_rows": _LINES
