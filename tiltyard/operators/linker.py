@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tiltyard.functions import text as X
 from tiltyard.operators import relational as R
+from tiltyard.session import cut
 
 #: States that a new run leaves as they are.
 TERMINAL = ("linked", "manually_linked", "platform_generic", "needs_review")
@@ -27,6 +28,7 @@ def link(docs: DataFrame, row: str, tiers: dict[str, str], machines: DataFrame,
         r = R.resolve_titles(d.select(row, F.col(col).alias("_t")), row, "_t", machines, mid, title, group)
         r = r.filter("status <> 'NoMatch'").select(row, F.lit(i + 1).alias("n"), F.lit(name).alias("tier"), F.col("status").alias("s"), "ids")
         found = r if found is None else found.unionByName(r)
+    found = cut(found, "tiers")  # read twice
     good = found.filter("s in ('Resolved', 'Family')").groupBy(row).agg(F.min_by(F.struct("tier", "ids"), "n").alias("g"))
     unsure = found.filter("s = 'Ambiguous'").groupBy(row).agg(F.max_by(F.struct("tier", "ids"), "n").alias("u"))
     j = d.select(row).join(good, row, "left").join(unsure, row, "left")

@@ -63,8 +63,8 @@ def longest_containment(texts: DataFrame, row: str, text_key: str, names: DataFr
     ws = F.split(text_key, " ")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, most))), lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - m + 1)), lambda i: F.array_join(F.slice(ws, i, m), " "))))
     hits = texts.select(row, F.explode(F.array_distinct(runs)).alias("k")).join(n, "k")
-    best = hits.groupBy(row).agg(F.max("m").alias("m"))
-    return hits.join(best, [row, "m"]).select(row, F.col("k").alias(name_key), F.col("m").alias("words"))
+    best = hits.withColumn("_b", F.max("m").over(W.partitionBy(row))).filter("m = _b")
+    return best.select(row, F.col("k").alias(name_key), F.col("m").alias("words"))
 
 
 def staged(stages: list[DataFrame], key: str) -> DataFrame:
@@ -73,8 +73,7 @@ def staged(stages: list[DataFrame], key: str) -> DataFrame:
     for i, s in enumerate(stages):
         s = s.withColumn("stage", F.lit(i))
         out = s if out is None else out.unionByName(s)
-    first = out.groupBy(key).agg(F.min("stage").alias("stage"))
-    return out.join(first, [key, "stage"])
+    return out.withColumn("_s", F.min("stage").over(W.partitionBy(key))).filter("stage = _s").drop("_s")
 
 
 def resolve_titles(queries: DataFrame, row: str, title: str, machines: DataFrame, mid: str, mtitle: str, group: str) -> DataFrame:
