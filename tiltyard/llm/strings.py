@@ -8,6 +8,8 @@ import unicodedata
 from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+
 _SPLIT = re.compile(r"[^\w.'#]+|_+")
 _ROMAN = re.compile(r"^i{1,4}$|^i?v$|^vi{0,3}$")
 
@@ -132,3 +134,93 @@ def grams(ws: list[str], sizes: tuple[int, ...] = (2, 3)) -> Counter:
     """Character n-grams of a name, with blanks at word limits."""
     t = " " + " ".join(w.rstrip(".") for w in ws) + " "
     return Counter(t[i : i + n] for n in sizes for i in range(len(t) - n + 1))
+
+
+def _bag(s: str) -> np.ndarray:
+    """Counts of a text's characters in 32 classes."""
+    return np.bincount(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) % 32, minlength=32).astype(np.int32)
+
+
+def _apart(bags: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(characters of each row that bag lacks, characters of bag that each row lacks): edits are at least the greater one."""
+    d = bags - bag
+    more = np.maximum(d, 0).sum(axis=1)
+    return more, more - d.sum(axis=1)
+
+
+class Bounds:
+    """What likeness(value, form, weights) can be at most, for all forms of a list at once.
+
+    Words that are alike are found by the counts of their characters, which no edit changes by more than one each way, and then
+    compared exactly. A form word is worth at most its likeness to the nearest word of the value, and words of the value that
+    are like none of the form count against it. So a form below a threshold by its bound is below it by its likeness.
+    """
+
+    def __init__(self, forms: list[list[str]], weights: Weights):
+        self.weights, self.size = weights, len(forms)
+        self.ids: dict[str, int] = {}
+        holders: list[list[int]] = []
+        for i, f in enumerate(forms):
+            for w in f:
+                k = self.ids.setdefault(w, len(self.ids))
+                if k == len(holders):
+                    holders.append([])
+                holders[k].append(i)
+        self.vocab = list(self.ids)
+        self.holders = [np.array(h, np.int64) for h in holders]
+        self.weight = np.array([weights.of(w) for w in self.vocab])
+        self.bags = np.array([_bag(w) for w in self.vocab], np.int32).reshape(-1, 32)
+        self.lengths = np.array([len(w) for w in self.vocab], np.int64)
+        self.roman = np.array([bool(_ROMAN.match(w)) for w in self.vocab], bool)
+        self.total = np.array([sum(weights.of(w) for w in f) for f in forms])
+        whole = ["".join(f) for f in forms]
+        self.whole = np.array([_bag(x) for x in whole], np.int32).reshape(-1, 32)
+        self.whole_n = np.array([len(x) for x in whole], np.int64)
+        self._alike: dict[str, tuple[list[tuple[int, float]], np.ndarray]] = {}
+
+    def alike(self, v: str) -> tuple[list[tuple[int, float]], np.ndarray]:
+        """((word of the list, likeness) of all words that v can stand for, the forms that hold any of them)."""
+        got = self._alike.get(v)
+        if got is None:
+            if len(self._alike) > 20_000:
+                self._alike.clear()
+            bare = v.rstrip(".")
+            more, less = _apart(self.bags, _bag(bare))
+            n = np.maximum(self.lengths, len(bare))
+            most = np.select([n <= 2, n <= 4, n <= 7], [0, 1, 2], 3)
+            # edits; beginnings and abbreviations, whose letters all stand in the word; numerals
+            near = (np.maximum(more, less) <= most) | ((less == 0) & (len(bare) > 1)) | self.roman
+            if _ROMAN.match(bare):
+                near[:] = True
+            if v in self.ids:
+                near[self.ids[v]] = True
+            pairs = [(int(k), s) for k in np.flatnonzero(near) if (s := word_likeness(v, self.vocab[k])) > 0]
+            held = np.unique(np.concatenate([self.holders[k] for k, _ in pairs])) if pairs else np.zeros(0, np.int64)
+            got = self._alike[v] = (pairs, held)
+        return got
+
+    def upper(self, value: list[str]) -> np.ndarray:
+        """The bound of each form."""
+        out = np.zeros(self.size)
+        if not value or not self.size:
+            return out
+        best: dict[int, float] = {}
+        count = Counter(value)
+        alone = np.full(self.size, sum(n * self.weights.of(v) for v, n in count.items()))
+        for v, n in count.items():
+            pairs, held = self.alike(v)
+            alone[held] -= n * self.weights.of(v)
+            for k, s in pairs:
+                if s > best.get(k, 0.0):
+                    best[k] = s
+        if best:
+            at = np.concatenate([self.holders[k] for k in best])
+            got = np.bincount(at, np.repeat([s * self.weight[k] for k, s in best.items()], [len(self.holders[k]) for k in best]), self.size)
+            out = 2 * got / (got + np.maximum(alone, 0.0) + self.total)
+        a = "".join(w.rstrip(".") for w in value)
+        n = np.maximum(self.whole_n, len(a))
+        ids = np.flatnonzero((n >= 5) & (np.abs(self.whole_n - len(a)) <= n // 6))
+        if len(ids):
+            d = np.maximum(*_apart(self.whole[ids], _bag(a)))
+            out[ids] = np.maximum(out[ids], np.where(d <= n[ids] // 6, 0.97 - d / n[ids], 0.0))
+        return out + 1e-9
