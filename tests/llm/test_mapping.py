@@ -27,3 +27,26 @@ def test_blocks_agree_and_nulls(spark):
     two = {(r.value, r.canon_key) for r in mapping.map_values(v, GROUPS, rules, block=4).collect()}
     assert one == two == {("Woden Quarry", "G4"), ("blue", "unmatched")}
     assert mapping.map_values(v.limit(0), GROUPS, rules).count() == 0
+
+
+def test_blocks_change_no_result(spark):
+    # near-equal entries in different blocks, a value that is ambiguous in one block only, words that are rare in one block only
+    canon = [*GROUPS, ("G7", "Wooden Quary", "brasswick"), *((f"H{i}", f"{w} Meadow", "quillon") for i, w in enumerate("Amber Birch Cedar Dusky Ember Fabled Golden Hollow".split())), ("G8", "Silent Meadow", "brasswick"), ("G9", "Silent Meadows", "quillon")]
+    rows = [(v, h) for v in ("Crystl Harbor", "Woden Quarry", "wooden quarry", "silent meadw", "Birch Medow", "NHDV", "opal quarry", "meadow", "g3", "n/a") for h in (None, "quillon", "brasswick")]
+    v = spark.createDataFrame(rows, "value string, maker string")
+    rules = mapping.RULES["group"]
+    want = {(r.value, r.maker): (r.canon_key, round(r.score, 9)) for r in mapping.map_values(v, canon, rules, hint="maker").collect()}
+    for block in (1, 4):
+        assert {(r.value, r.maker): (r.canon_key, round(r.score, 9)) for r in mapping.map_values(v, canon, rules, hint="maker", block=block).collect()} == want
+    assert want["Crystl Harbor", None][0] == "unmatched" and want["Crystl Harbor", "quillon"][0] == "G1" and len(want) == 30
+
+
+def test_no_entry_is_lost_by_cosine():
+    # many short entries share more n-grams with the typed value than the long one that is like it word by word
+    canon = [("T", "Extraordinarily Thunderstruck Manorhouses", None), *((f"N{a}{b}", f"{a}{b} {b}{b}", None) for a in ("Ex", "Th", "Ma") for b in "bdgkpwz")]
+    x = mapping.Index(canon, mapping.RULES["group"])
+    assert x.resolve("Ex. Th. Ma.")[0] == "T"
+    for v in ("Ex. Th. Ma.", "exb thz", "manor thundr", "zz", ""):
+        ws = mapping.words(v)
+        every = max((0.98 * strings.likeness(ws, f, x.weights) + 0.02 * c for (f, _), c in zip(x.forms, x.cosines(ws))), default=0.0)
+        assert abs(x.resolve(v)[1] - every) < 1e-9

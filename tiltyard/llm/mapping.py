@@ -1,18 +1,24 @@
-"""Mapping free-entered values to a canonical list: distinct values, an n-gram inverted index, weighted cosine, threshold and margin."""
+"""Mapping free-entered values to a canonical list: distinct values, an n-gram inverted index, weighted cosine, threshold and margin.
+
+Acceptance rests on word likeness, so the entries compared are those whose likeness could by its bound be the best or within the
+margin of it, whatever their cosine.
+"""
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.llm.strings import Weights, grams, likeness, words
+from tiltyard.llm.strings import Bounds, Weights, grams, likeness, words
 from tiltyard.session import spread
 
 UNMATCHED = "unmatched"
@@ -30,7 +36,6 @@ class ListRules:
     head_names: bool = False
     accept: float = 0.8
     margin: float = 0.02
-    candidates: int = 12
 
 
 #: How names of each kind are commonly decorated and abbreviated.
@@ -49,51 +54,69 @@ RULES = {
 _HEAD = re.compile(r"^(.+?)(?:\s*:\s+|\s+-\s+)")
 
 
+Entry = tuple[str, str, str | None]
+
+
+def surface_forms(entries: list[Entry], rules: ListRules) -> dict[tuple[str, ...], dict[str, float]]:
+    """The ways in which each entry is written: form -> {key: cost}."""
+    forms: dict[tuple[str, ...], dict[str, float]] = defaultdict(dict)
+    for key, label, _ in entries:
+        for ws in (words(label), words(key)) if rules.typed_keys else (words(label),):
+            if ws:
+                forms[tuple(ws)][key] = 0.0
+        if rules.head_names and (m := _HEAD.match(label)) and (ws := words(m[1])):
+            forms[tuple(ws)].setdefault(key, 0.06)
+    known = {k for k, _, _ in entries}
+    for short, key in rules.short_forms:
+        if key in known:
+            forms[tuple(short.split())].setdefault(key, 0.0)
+    return forms
+
+
+def list_weights(entries: list[Entry], rules: ListRules) -> tuple[Weights, dict[str, float]]:
+    """(word weights, idf of n-grams) of a whole list: the same for each of its blocks."""
+    forms = surface_forms(entries, rules)
+    df = Counter(g for ws in forms for g in set(grams(list(ws))))
+    return Weights([words(label) for _, label, _ in entries], rules.light), {g: math.log(1 + len(forms) / c) for g, c in df.items()}
+
+
 class Index:
-    """Inverted index of the n-grams of a list's surface forms: gram -> [(form, weight)]."""
+    """Inverted index of the n-grams of the surface forms of a list, or of a block of it with the weights of the whole."""
 
-    def __init__(self, entries: list[tuple[str, str, str | None]], rules: ListRules):
+    def __init__(self, entries: list[Entry], rules: ListRules, whole: tuple[Weights, dict[str, float]] | None = None):
         self.rules = rules
-        forms: dict[tuple[str, ...], dict[str, float]] = defaultdict(dict)
         self.exact_initials: dict[str, set[str]] = defaultdict(set)
-        self.manufacturer = {k: m for k, _, m in entries}
-        self.keys = {k.lower(): k for k, _, _ in entries}
-        label_words = []
-        for key, label, _ in entries:
+        self.manufacturers: dict[str, set[str | None]] = defaultdict(set)
+        self.keys: dict[str, set[str]] = defaultdict(set)
+        for key, label, m in entries:
+            self.manufacturers[key].add(m)
+            self.keys[key.lower()].add(key)
             lw = words(label)
-            label_words.append(lw)
-            for ws in (lw, words(key)) if rules.typed_keys else (lw,):
-                if ws:
-                    forms[tuple(ws)][key] = 0.0
-            if rules.head_names and (m := _HEAD.match(label)):
-                forms[tuple(words(m[1]))].setdefault(key, 0.06)
             if rules.initials and len(lw) >= 2:
                 for ws in (lw, [w for w in lw if w not in ("the", "and", "of", "a")]):
                     if len(ws) >= 2:
                         self.exact_initials["".join(w[0] for w in ws)].add(key)
-        for short, key in rules.short_forms:
-            if key in self.manufacturer:
-                forms[tuple(short.split())].setdefault(key, 0.0)
-        self.forms = [(list(ws), keys) for ws, keys in forms.items()]
-        self.weights = Weights(label_words, rules.light)
-        df = Counter(g for ws, _ in self.forms for g in set(grams(ws)))
-        self.idf = {g: math.log(1 + len(self.forms) / c) for g, c in df.items()}
-        self.postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.forms = [(list(ws), keys) for ws, keys in surface_forms(entries, rules).items()]
+        self.weights, self.idf = whole or list_weights(entries, rules)
+        self.bounds = Bounds([ws for ws, _ in self.forms], self.weights)
+        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, (ws, _) in enumerate(self.forms):
             v = {g: c * self.idf[g] for g, c in grams(ws).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             for g, x in v.items():
-                self.postings[g].append((i, x / norm))
+                postings[g].append((i, x / norm))
+        self.postings = {g: (np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])) for g, p in postings.items()}
 
-    def retrieve(self, ws: list[str]) -> list[tuple[float, int]]:
-        """The forms with the highest weighted cosine."""
+    def cosines(self, ws: list[str]) -> np.ndarray:
+        """The weighted cosine of each form."""
         v = {g: c * self.idf.get(g, 1.0) for g, c in grams(ws).items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        score: dict[int, float] = defaultdict(float)
+        out = np.zeros(len(self.forms))
         for g, x in v.items():
-            for i, y in self.postings.get(g, ()):
-                score[i] += x * y / norm
-        return sorted(((s, i) for i, s in score.items()), reverse=True)[: self.rules.candidates]
+            if g in self.postings:
+                ids, y = self.postings[g]
+                out[ids] += x * y / norm
+        return out
 
     def _variants(self, value: str) -> list[list[str]]:
         out = [words(value)]
@@ -102,68 +125,110 @@ class Index:
             out.append(words(cut))
         return [w for w in out if w]
 
-    def resolve(self, value: str, hint: str | None = None) -> tuple[str, float]:
-        """(key, score) of the entry meant, or unmatched with the best score.
+    def candidates(self, value: str, hint: str | None = None) -> list[tuple[str, str, float, bool]]:
+        """(kind, key, score, made by hint) of the entries that could be meant: 'exact' the key itself, 'name' the best by name and
+        all within the margin of it, 'letters' those with these initials.
 
-        Score of an entry: weighted likeness of the words of its nearest form, at most 0.02 of it from the n-gram cosine. The
-        entry is taken where its score is accepted and stands out from the next by the margin; entries that can't be told
-        apart by name are told apart by hint (the manufacturer), else left unmatched.
+        Forms are compared in the order of what they could score at most, until none left could be the best or near it.
         """
-        best: dict[str, float] = {}
         bare = value.strip()
         if bare.lower() in self.keys:
-            return self.keys[bare.lower()], 1.0
+            return [("exact", k, 1.0, False) for k in self.keys[bare.lower()]]
+        best: dict[str, float] = {}
+        top = 0.0
         for ws in self._variants(value):
-            for cos, i in self.retrieve(ws):
+            cos = self.cosines(ws)
+            most = 0.98 * self.bounds.upper(ws) + 0.02 * cos
+            for i in np.argsort(-most, kind="stable"):
+                # a form that can't come within the margin of acceptance matters only as the best score of an unmatched value
+                if most[i] <= (top - self.rules.margin if most[i] > self.rules.accept - self.rules.margin else max(top, 1e-8)):
+                    break
                 form, keys = self.forms[i]
-                s = 0.98 * likeness(ws, form, self.weights) + 0.02 * cos
+                s = 0.98 * likeness(ws, form, self.weights) + 0.02 * float(cos[i])
                 for k, cost in keys.items():
                     best[k] = max(best.get(k, 0.0), s - cost)
-        letters = bare.replace(".", "").lower()
-        if self.rules.initials and bare.isupper() and letters in self.exact_initials and max(best.values(), default=0) < self.rules.accept:
-            for k in self.exact_initials[letters]:
-                best[k] = max(best.get(k, 0), 0.9)
-        if not best:
-            return UNMATCHED, 0.0
-        ranked = sorted(((s, k) for k, s in best.items()), key=lambda x: (-x[0], x[1]))
-        top = ranked[0][0]
-        if top < self.rules.accept:
-            return UNMATCHED, top
-        near = [k for s, k in ranked if s > top - self.rules.margin]
-        if len(near) > 1 and hint:
-            own = [k for k in near if self.manufacturer.get(k) == hint]
-            near = own if len(own) == 1 else near
-        return (near[0], top) if len(near) == 1 else (UNMATCHED, top)
+                    top = max(top, best[k])
+        out = [("name", k, s) for k, s in best.items() if s > top - self.rules.margin]
+        if self.rules.initials and bare.isupper():
+            out += [("letters", k, 0.9) for k in self.exact_initials.get(bare.replace(".", "").lower(), ())]
+        return [(kind, k, s, hint is not None and hint in self.manufacturers[k]) for kind, k, s in out]
+
+    def resolve(self, value: str, hint: str | None = None) -> tuple[str, float]:
+        """(key, score) of the entry meant, or unmatched with the best score."""
+        return decide(value, self.candidates(value, hint), self.rules)
+
+
+def decide(value: str, found: list[tuple[str, str, float, bool]], rules: ListRules) -> tuple[str, float]:
+    """(key, score) of the entry meant among the candidates of all blocks of a list, or unmatched with the best score.
+
+    Score of an entry: weighted likeness of the words of its nearest form, at most 0.02 of it from the n-gram cosine. The
+    entry is taken where its score is accepted and stands out from the next by the margin; entries that can't be told
+    apart by name are told apart by hint (the manufacturer), else left unmatched.
+    """
+    exact = [k for kind, k, _, _ in found if kind == "exact"]
+    if exact:
+        return min(exact, key=lambda k: (k != value.strip(), k)), 1.0
+    best: dict[str, float] = {}
+    made: dict[str, bool] = {}
+    named = max((s for kind, _, s, _ in found if kind == "name"), default=0.0)
+    for kind, k, s, own in found:
+        if kind == "name" or named < rules.accept:
+            best[k] = max(best.get(k, 0.0), s)
+            made[k] = made.get(k, False) or own
+    if not best:
+        return UNMATCHED, 0.0
+    ranked = sorted(((s, k) for k, s in best.items()), key=lambda x: (-x[0], x[1]))
+    top = ranked[0][0]
+    if top < rules.accept:
+        return UNMATCHED, top
+    near = [k for s, k in ranked if s > top - rules.margin]
+    if len(near) > 1:
+        own = [k for k in near if made[k]]
+        near = own if len(own) == 1 else near
+    return (near[0], top) if len(near) == 1 else (UNMATCHED, top)
 
 
 def map_values(values: DataFrame, canon: list[tuple[str, str, str | None]], rules: ListRules, value: str = "value", hint: str | None = None, block: int = 50_000) -> DataFrame:
     """(value, [hint], canon_key, score) per distinct value (and hint). canon: (key, label, manufacturer) of the list.
 
     Values are deduplicated first, so the work follows their distinct spellings. The index of at most `block` entries goes to
-    the workers; a longer list is taken block by block and the best entry over all blocks is kept, so the size of what is
-    sent is bounded and no entry is left out. Null values give no row; blank ones are unmatched.
+    the workers; a longer list is taken block by block, with the weights of the whole list, and threshold, margin and hint are
+    applied once to the candidates of all blocks, so blocks change no result. Null values give no row; blank ones are unmatched.
     """
     cols = [value] + ([hint] if hint else [])
     distinct = spread(values.filter(F.col(value).isNotNull()).select(*cols).distinct(), *cols)
-    schema = ", ".join(f"`{c}` string" for c in cols) + ", canon_key string, score double"
+    schema = ", ".join(f"`{c}` string" for c in cols)
+    resolved = schema + ", canon_key string, score double"
+    if len(canon) <= block:
 
-    def one(part: list[tuple[str, str, str | None]]) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = Index(part, rules)
+            index = Index(canon, rules)
             for f in frames:
                 got = [index.resolve(r[0], r[1] if hint else None) for r in f.itertuples(index=False)]
                 yield f.assign(canon_key=[g[0] for g in got], score=[g[1] for g in got])
 
-        return distinct.mapInPandas(run, schema)
+        return distinct.mapInPandas(run, resolved)
+    whole = list_weights(canon, rules)
+
+    def one(part: list[Entry]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = Index(part, rules, whole)
+            for f in frames:
+                yield f.assign(found=[json.dumps(index.candidates(r[0], r[1] if hint else None)) for r in f.itertuples(index=False)])
+
+        return distinct.mapInPandas(run, schema + ", found string")
 
     out = None
-    for at in range(0, max(1, len(canon)), block):
+    for at in range(0, len(canon), block):
         d = one(canon[at : at + block])
         out = d if out is None else out.unionByName(d)
-    if len(canon) > block:
-        rank = F.struct((F.col("canon_key") != UNMATCHED).cast("int"), "score", "canon_key")
-        out = out.groupBy(*cols).agg(F.max(rank).alias("m")).select(*cols, "m.canon_key", "m.score")
-    return out
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            got = [decide(v, [tuple(c) for part in parts for c in json.loads(part)], rules) for v, parts in zip(f[value], f["found"])]
+            yield f[cols].assign(canon_key=[g[0] for g in got], score=[g[1] for g in got])
+
+    return out.groupBy(*cols).agg(F.collect_list("found").alias("found")).mapInPandas(settle, resolved)
 
 
 def canon_list(table: DataFrame, name: str) -> list[tuple[str, str, str | None]]:
