@@ -46,3 +46,21 @@ def test_decode_splits_and_merges():
 
 def test_empty(spark):
     assert scanned.repaired(chunks(spark).limit(0)).count() == 0
+
+
+def test_no_word_or_running_line_is_left_out(spark, monkeypatch):
+    # more corrections and running patterns than were once sent, all before those of the chunks
+    from pyspark.sql import functions as F
+
+    fixes, lines = scanned.corrections, scanned.running_lines
+    monkeypatch.setattr(scanned, "corrections", lambda w: fixes(w).unionByName(spark.range(300_000).select(F.concat(F.lit("!"), "id").alias("bad"), F.lit("x").alias("good"))))
+    monkeypatch.setattr(scanned, "running_lines", lambda *a: lines(*a).unionByName(spark.range(10_000).select(F.concat(F.lit("! <t> "), "id").alias("pattern"), F.lit(10**6).cast("long").alias("docs"))))
+    got = {r.chunk_id: (r.noise, r.text) for r in scanned.repaired(chunks(spark)).collect()}
+    assert got["ch"] == (["chars"], "Check the wire at connector nine of the driver board.") and got["h1"][0] == ["header"]
+
+
+def test_patterns_fit_lines_with_any_name(spark):
+    store = scanned.Store.write(spark.createDataFrame([("wire", 3, None), ("wlre", None, "wire")], "w string, n long, good string"), spark.createDataFrame([("<t> - service notes",), ("<m> <t> rev #",), ("manual of <t>",), *((f"<t> x{i} <m>",) for i in range(1200))], "pattern string"))
+    assert store.fits("solar rodeo - service notes") and store.fits("quillon solar rodeo rev #") and store.fits("manual of solar rodeo") and store.fits("solar x1199 quillon") and store.fits("solar x1199 quillon")
+    assert not store.fits("solar rodeo - service note") and not store.fits("a manual of solar rodeo") and not store.fits("solar y quillon")
+    assert "manual of <t>" in store and "manual" not in store and store.word("wlre") == (None, "wire") and store.total() == 3

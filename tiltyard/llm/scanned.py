@@ -8,13 +8,19 @@ may be kept, corrected, joined over a hyphen, split or merged. Paragraph boundar
 
 from __future__ import annotations
 
+import atexit
 import math
 import re
+import shutil
+import sqlite3
+import tempfile
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +134,10 @@ def corrections(words: DataFrame, ratio: float = 0.1, least: int = 5) -> DataFra
     return j.filter(ok).groupBy(F.col("w").alias("bad")).agg(F.max("g").alias("g")).select("bad", F.col("g.w").alias("good"))
 
 
-def line_pattern(line: str, title: str | None, maker: str | None, fix: dict[str, str] | None = None) -> str:
+def line_pattern(line: str, title: str | None, maker: str | None, fix: dict[str, str] | _Part | None = None) -> str:
     """A line with its document's title, its maker and digits masked. maker is a key: the first letters of the printed name."""
     s = " ".join(line.split()).lower()
-    if fix:
+    if fix is not None:
         s = " ".join(a + fix.get(w, w) + b for a, w, b in map(core, s.split(" ")))
     if title and title.strip():
         s = s.replace(" ".join(title.split()).lower(), "<t>")
@@ -191,19 +197,131 @@ def running_lines(df: DataFrame, text: str, doc: str, title: str, maker: str, le
     ).groupBy("pattern").agg(F.max("docs").alias("docs"))
 
 
+def _shapes(patterns: Iterable[str]) -> re.Pattern:
+    """Lines of any of the patterns, with any name for title and maker."""
+    any_name = lambda p: re.escape(p).replace("<t>", r"[^.!?]{2,60}").replace("<m>", r"\S+(?: \S+)?").replace(r"\#", "#")
+    return re.compile("|".join(f"(?:{any_name(p)})" for p in patterns))
+
+
+def _ends(s: str) -> tuple[str, str]:
+    """First and last word of a pattern, '' where a name stands there: a line of this pattern has the same."""
+    ws = s.split(" ")
+    return tuple("" if "<t>" in w or "<m>" in w else w for w in (ws[0], ws[-1]))
+
+
+class Store:
+    """The model as an indexed file that Spark copies to every node: words are looked up on disk, so it is whole whatever its
+    size, and workers keep no more than `kept` words and patterns in memory."""
+
+    def __init__(self, name: str, kept: int = 300_000):
+        self.name, self.kept = name, kept
+        self._open()
+
+    def _open(self) -> None:
+        self.db: sqlite3.Connection | None = None
+        self.seen: dict[str, tuple[int | None, str | None]] = {}
+        self.lines: dict[str, bool] = {}
+        self.ends: dict[tuple[str, str], re.Pattern | None] = {}
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "kept": self.kept}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
+
+    @classmethod
+    def write(cls, words: DataFrame, patterns: DataFrame) -> Store:
+        """words: (w, n, good); patterns: (pattern). Rows pass through the driver one partition at a time."""
+        folder, name = tempfile.mkdtemp(prefix="tiltyard-model-"), f"scanned-{uuid.uuid4().hex[:12]}.db"
+        atexit.register(shutil.rmtree, folder, True)
+        db = sqlite3.connect(f"{folder}/{name}")
+        db.execute("create table words (w text primary key, n integer, good text) without rowid")
+        db.execute("create table lines (p text primary key, first text, last text) without rowid")
+        db.executemany("insert into words values (?, ?, ?)", ((r["w"], r["n"], r["good"]) for r in words.select("w", "n", "good").toLocalIterator()))
+        db.executemany("insert into lines values (?, ?, ?)", ((r["pattern"], *_ends(r["pattern"])) for r in patterns.toLocalIterator()))
+        db.execute("create index ends on lines (first, last)")
+        db.commit()
+        db.close()
+        words.sparkSession.sparkContext.addFile(f"{folder}/{name}")
+        return cls(name)
+
+    def _ask(self, sql: str, *by: str) -> sqlite3.Cursor:
+        if self.db is None:
+            self.db = sqlite3.connect(f"file:{SparkFiles.get(self.name)}?mode=ro&immutable=1", uri=True)
+        return self.db.execute(sql, by)
+
+    def total(self) -> int:
+        return self._ask("select coalesce(sum(n), 0) from words").fetchone()[0]
+
+    def word(self, w: str) -> tuple[int | None, str | None]:
+        """(count, correction) of a word."""
+        got = self.seen.get(w)
+        if got is None:
+            if len(self.seen) >= self.kept:
+                self.seen.clear()
+            got = self.seen[w] = self._ask("select n, good from words where w = ?", w).fetchone() or (None, None)
+        return got
+
+    def __contains__(self, pattern: str) -> bool:
+        got = self.lines.get(pattern)
+        if got is None:
+            if len(self.lines) >= self.kept:
+                self.lines.clear()
+            got = self.lines[pattern] = self._ask("select 1 from lines where p = ?", pattern).fetchone() is not None
+        return got
+
+    def fits(self, line: str, most: int = 500) -> bool:
+        """A pattern fits the line with any name: only those with its first and last word, or a name there, are tried."""
+        ws = line.split(" ")
+        for ends in {(a, b) for a in (ws[0], "") for b in (ws[-1], "")}:
+            if ends in self.ends:
+                shape = self.ends[ends]
+                if shape and shape.fullmatch(line):
+                    return True
+                continue
+            rows = self._ask("select p from lines where first = ? and last = ? order by p", *ends)
+            block = [r[0] for r in rows.fetchmany(most)]
+            if len(block) < most:
+                if len(self.ends) >= 2_000:
+                    self.ends.clear()
+                self.ends[ends] = _shapes(block) if block else None
+            # patterns with names at both ends may be a great many: those are read anew, block by block
+            while block:
+                if _shapes(block).fullmatch(line):
+                    return True
+                block = [r[0] for r in rows.fetchmany(most)]
+        return False
+
+
+@dataclass(frozen=True)
+class _Part:
+    """One column of the words of a store, read like a dict."""
+
+    store: Store
+    at: int
+
+    def get(self, w: str, default=None):  # noqa: ANN001, ANN201
+        got = self.store.word(w)[self.at]
+        return default if got is None else got
+
+    def __contains__(self, w: str) -> bool:
+        return self.store.word(w)[self.at] is not None
+
+
 @dataclass
 class Model:
-    counts: dict[str, int]
-    fix: dict[str, str]
-    running: frozenset[str]
-    shapes: re.Pattern | None = None
+    counts: dict[str, int] | _Part
+    fix: dict[str, str] | _Part
+    running: frozenset[str] | Store
     plain: dict[str, bool] = field(default_factory=dict)
     total: int = 0
 
-    def __post_init__(self) -> None:
-        if self.running:
-            any_name = lambda p: re.escape(p).replace("<t>", r"[^.!?]{2,60}").replace("<m>", r"\S+(?: \S+)?").replace(r"\#", "#")
-            self.shapes = re.compile("|".join(f"(?:{any_name(p)})" for p in sorted(self.running)))
+    def fits(self, line: str) -> bool:
+        """The line is of a running pattern with any name."""
+        if isinstance(self.running, Store):
+            return self.running.fits(line)
+        return bool(self.running) and _shapes(sorted(self.running)).fullmatch(line) is not None
 
     def is_running(self, line: str, title: str | None, maker: str | None) -> bool:
         """The line is a running one of the corpus: with the chunk's own title and maker, or, where it has none, with any name."""
@@ -217,9 +335,9 @@ class Model:
             return True
         if name and repairable and line_pattern(line, title, maker, self.fix) in self.running:
             return True
-        if self.shapes is None or title and maker or not line[:1].isupper():
+        if title and maker or not line[:1].isupper():
             return False
-        return self.shapes.fullmatch(line_pattern(line, title, maker, self.fix)) is not None
+        return self.fits(line_pattern(line, title, maker, self.fix))
 
     def is_plain(self, token: str) -> bool:
         """A token that decoding would keep as it is: a word of the corpus, or no word at all."""
@@ -411,16 +529,15 @@ def repair(content: str | None, title: str | None, maker: str | None, start: int
     return sorted(found), "\n\n".join(" ".join(p) for p in _paragraphs(lines))
 
 
-def fit(chunks: DataFrame, max_words: int = 300_000) -> Model:
-    """The model from all chunks. What goes to the workers is bounded: the max_words most frequent words and corrections."""
+def fit(chunks: DataFrame) -> Model:
+    """The model from all chunks: every word seen twice, every correction and every running pattern, as a file (see Store)."""
     c = spread(chunks.select("chunk_id", "document_id", "machine_title", "manufacturer", "content"), "chunk_id")
     words = cut(word_counts(c, "content"), "words")
-    counts = {r["w"]: r["n"] for r in words.filter("n > 1").orderBy(F.desc("n"), "w").limit(max_words).collect()}
-    fix = {r["bad"]: r["good"] for r in corrections(words).orderBy("bad").limit(max_words).collect()}
-    running = frozenset(r["pattern"] for r in running_lines(c, "content", "document_id", "machine_title", "manufacturer").orderBy(F.desc("docs"), "pattern").limit(10_000).collect())
-    for bad in fix:
-        counts.pop(bad, None)
-    return Model(counts, fix, running, total=max(1, sum(counts.values())))
+    fix = corrections(words).select(F.col("bad").alias("w"), "good")
+    # a form that is corrected counts as no word
+    known = words.filter("n > 1").select("w", "n").join(fix, "w", "full").select("w", F.when(F.col("good").isNull(), F.col("n")).alias("n"), "good")
+    store = Store.write(known, running_lines(c, "content", "document_id", "machine_title", "manufacturer").select("pattern"))
+    return Model(_Part(store, 0), _Part(store, 1), store, total=max(1, store.total()))
 
 
 def repaired(chunks: DataFrame, model: Model | None = None) -> DataFrame:
