@@ -35,3 +35,10 @@ def test_empty_tables(spark):
 def test_hot_key(spark):
     hits = [(i, "d1" if i % 3 == 0 else f"x{i}", D(3), "", "") for i in range(3000)]
     assert O.cascade(tables(spark, hits), PARENTS, EDGES[1:]).count() == 2000
+
+
+def test_chains_of_any_depth(spark):
+    parts = [("p0", "none", D(2), None), *((f"p{i}", f"p{i - 1}", D(2), None) for i in range(1, 23)), ("c1", "c2", D(2), None), ("c2", "c1", D(2), None)]
+    t = {"parts": spark.createDataFrame(parts, "id string, up string, at timestamp, end timestamp")}
+    got = {r.row: r.depth for r in O.cascade(t, {"parts": O.Parent("id", "at", "end")}, [O.Edge("parts", "up", "id", "at", "parts")]).collect()}
+    assert got == {f"p{i}": i for i in range(23)}

@@ -8,6 +8,7 @@ the last round orphaned.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +76,12 @@ def _once(refs: DataFrame) -> DataFrame:
     return g.select(*(c if c in ("table_name", "field_name", "row") else F.col(f"m.{c}").alias(c) for c in refs.columns))
 
 
-def cascade(tables: dict[str, DataFrame], parents: dict[str, Parent], edges: list[Edge], max_rounds: int = 20) -> DataFrame:
+def cascade(tables: dict[str, DataFrame], parents: dict[str, Parent], edges: list[Edge]) -> DataFrame:
     """All orphan references: (table_name, field_name, row, t, reason, depth).
 
     depth 0 is direct. depth k > 0 (reason 'inherited'): the reference resolves, but to a record all of whose rows were
-    orphaned by round k - 1. Rounds end when one adds no orphaned parent key; each round is one semi-join per edge whose
+    orphaned by round k - 1. Rounds end when one adds no orphaned parent key, however deep the chains are: each row is added
+    once, so they end where references go in circles too. Each round is one semi-join per edge whose
     parent has newly orphaned keys, and is written to the shared folder.
     """
     spans = {n: life_spans(tables[n], p) for n, p in parents.items()}
@@ -97,7 +99,7 @@ def cascade(tables: dict[str, DataFrame], parents: dict[str, Parent], edges: lis
         return tables[n].select(norm(F.col(parents[n].key)).alias("key"), F.col(e.row).cast("string").alias("row")).join(ids, "row", "left_semi").select("key").distinct()
 
     middle = [n for n in parents if any(e.child == n for e in edges)]
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         fresh = None
         for n in middle:
             last = found.filter(F.col("depth") == depth - 1)
