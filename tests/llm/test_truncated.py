@@ -40,3 +40,15 @@ def test_found_and_limits(spark):
     by = {r.source: r for r in truncated.by_source(c, "source").collect()}
     assert by["cutter"].limit_size == 300 and by["whole"].limit_size is None and by["cutter"].cut_at_limit == by["cutter"].cut_texts
     assert truncated.cut_texts(df.limit(0), "id", "text", "source").count() == 0
+
+
+def test_a_long_last_line_has_the_head_of_its_start(spark):
+    from tiltyard.llm import endings
+
+    h = endings._Hashes()
+    long = "Clean the coil with " + ", ".join(f"brush number {i}" for i in range(900))
+    for before in ("", "Adjust the gap. ", "Adjust the gap\n"):
+        assert endings.keys_of_end(before + long, h)[3] == endings.keys_of_end("Clean the", h)[3], before
+        assert endings.last_tokens(before + long)[-5:] == endings.tokens(before + long)[-5:]
+    df = spark.createDataFrame([(1, "Adjust the gap. " + long, "s")], "id long, text string, source string")
+    assert truncated.inspect(df, "id", "text", "source").first()["keys"][3] == endings.keys_of_end("Clean the", h)[3]

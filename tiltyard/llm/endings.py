@@ -60,9 +60,24 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def last_tokens(text: str, least: int = 2000) -> list[str]:
+    """The tokens of the last unit of a text, however long it is, with at least five tokens and what stands before it.
+
+    The tail that is looked at begins at a blank and grows until it holds the start of the unit, so its tokens are those of the text.
+    """
+    n = least
+    while n < len(text):
+        m = re.search(r"\s", text[-n:])
+        t = tokens(text[-n:][m.start() :]) if m else []
+        if len(t) > 6 and any(x == "\n" or x in TERMINALS for x in t[1:-1]):
+            return t
+        n *= 4
+    return tokens(text)
+
+
 def keys_of_end(text: str, hashes: _Hashes) -> list[int]:
     """Keys of the last two tokens, the last three, the last five, and the first two of the last unit: what stands after the last line end or full stop."""
-    t = tokens(text)
+    t = last_tokens(text)
     cut = next((i for i in range(len(t) - 1, -1, -1) if t[i] == "\n" or t[i] in TERMINALS and i < len(t) - 1), -1)
     last = t[cut + 1 :]
     h = [hashes[x] for x in (["\n"] * 4 + t)[-5:]]

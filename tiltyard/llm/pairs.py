@@ -287,7 +287,7 @@ def defects(df: DataFrame, row: str, question: str, answer: str) -> DataFrame:
                     if kind in ("cut", "marker", "markup"):
                         d = "truncated"
                     else:
-                        k = endings.keys_of_end(rest[-2000:], hashes)
+                        k = endings.keys_of_end(rest, hashes)
                 out.append(d)
                 kinds.append(kind)
                 keys.append(k)

@@ -54,7 +54,7 @@ def inspect(df: DataFrame, row: str, text: str, source: str) -> DataFrame:
                 kind, rest = endings.finished(t or "")
                 kinds.append(kind)
                 sizes.append(measures(t or ""))
-                keys.append(endings.keys_of_end(rest[-2000:], hashes) if kind in ("open", "dots", "stop") else None)
+                keys.append(endings.keys_of_end(rest, hashes) if kind in ("open", "dots", "stop") else None)
             i = b.schema.names.index("_t")
             yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(b.columns) if k != i), pa.array(sizes, pa.list_(pa.int32())), pa.array(kinds, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=[*(n for n in b.schema.names if n != "_t"), "sizes", "kind", "keys"])
 
