@@ -53,3 +53,29 @@ def test_empty_and_typed(spark):
 def test_split_round_trip(fields):
     line = ",".join('"' + f.replace('"', '""') + '"' for f in fields)
     assert B.split_record(line) == fields
+
+
+def test_only_failing_lines_reach_the_strict_parser(spark):
+    import pyarrow as pa
+
+    lines = [GOOD] * 3000 + [k for k, r in CASES.items() if r] * 20 + ['"Lee, Ann",1,,1500,30,1400,,2'] * 500
+    out, strict = [], []
+    B._parse_block(pa.array(range(len(lines))), pa.array(lines), B.RATINGS, out, strict)
+    bad = sum(1 for x in lines if CASES.get(x))
+    assert sum(len(i) for i, _ in strict) == bad and sum(len(i) for i, _ in out) == len(lines) - bad
+
+
+def test_a_block_the_bulk_parser_refuses_is_halved(monkeypatch):
+    import pyarrow as pa
+
+    real = B._bulk
+    monkeypatch.setattr(B, "_bulk", lambda x, spec: None if GOOD + "7" in x.to_pylist() else real(x, spec))
+    out, strict = [], []
+    B._parse_block(pa.array(range(101)), pa.array([GOOD] * 60 + [GOOD + "7"] + [GOOD] * 40), B.RATINGS, out, strict)
+    assert [x.to_pylist() for i, x in strict if len(i)] == [[GOOD + "7"]] and sum(len(i) for i, _ in out) == 100
+
+
+def test_values_that_do_not_fit_their_type_are_named(spark):
+    one = spark.createDataFrame([(7, "Ann,x1,,1500,n/a,,,2"), (8, GOOD)], "row_id long, raw_line string")
+    got = {r.row_id: (r.user_id, r.rd, r.unread) for r in B.typed(B.parse_records(one, "row_id", "raw_line", B.RATINGS), B.RATINGS, "row_id").collect()}
+    assert got == {7: (None, None, "user_id,rd"), 8: (1, 30.0, None)}

@@ -1,7 +1,9 @@
 """Rows that fail to parse: bulk parsing of record blocks, bisection of failing blocks, strict diagnosis of single lines.
 
-A block of lines takes the columnar path (one Arrow CSV parse and vectorised value checks). A block that fails there is
-halved until it passes or is a few lines, which go to the strict parser one by one; it names the reason.
+A block of lines takes the columnar path: one vectorised check of the shape of its lines, one Arrow CSV parse, vectorised value
+checks. Each check judges all lines of the block at once, so the lines that fail it are known without parsing halves again; a
+block that the bulk parser refuses as a whole is halved until the line it can't read stands alone. Only such single lines go
+to the strict parser, which names the reason.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ import datetime
 import io
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltyard.session import spread
@@ -39,9 +41,7 @@ class Field:
 class RecordSpec:
     fields: tuple[Field, ...]
     header_first: str
-    block: int = 512
-    leaf: int = 16  # lines of a failing block that are no longer halved but diagnosed one by one
-    checks: tuple[Field, ...] = field(default=())
+    block: int = 4096
 
     @property
     def names(self) -> list[str]:
@@ -51,9 +51,8 @@ class RecordSpec:
 #: Reasons in the order in which they are tested: the shape of the line first, then fields from left to right.
 SHAPE_REASONS = ("quoting", "columns")
 
-# A line whose quotes are all well placed: each field is plain (no quote) or enclosed, blanks may stand around the enclosure.
-_FIELD = r'(?:[^",]*|[ \t]*"(?:[^"]|"")*"[ \t]*)'
-_WELL_QUOTED = rf"^{_FIELD}(?:,{_FIELD})*$"
+# A field as the bulk parser reads it: plain (no quote), or enclosed without blanks around it.
+_FIELD = r'(?:[^",\r\n]*|"(?:[^"\r\n]|"")*")'
 
 
 def split_record(line: str) -> list[str] | None:
@@ -116,57 +115,57 @@ def diagnose(line: str, spec: RecordSpec, patterns: dict[str, re.Pattern]) -> tu
 
 
 def _bulk(lines: pa.Array, spec: RecordSpec) -> list[pa.Array] | None:
-    """The columns of a block in which every line is valid; None where any line fails or the fast path can't tell."""
-    if not pc.all(pc.match_substring_regex(lines, _WELL_QUOTED)).as_py():
-        return None
-    data = "\n".join(lines.to_pylist())
-    if "\r" in data or data.count("\n") != len(lines) - 1:
-        return None
+    """The columns of a block in one parse; None where the parser refuses it."""
     try:
         t = csv.read_csv(
-            io.BytesIO(data.encode()),
-            csv.ReadOptions(column_names=spec.names, use_threads=False),
+            io.BytesIO("\n".join(lines.to_pylist()).encode("utf-8", "surrogatepass")),
+            csv.ReadOptions(column_names=spec.names, use_threads=False, block_size=1 << 26),
             csv.ParseOptions(ignore_empty_lines=False),
             csv.ConvertOptions(column_types={n: pa.string() for n in spec.names}, strings_can_be_null=False),
         )
-    except pa.ArrowInvalid:
-        return None
-    if t.num_rows != len(lines):
-        return None
-    cols = [t[n].combine_chunks() for n in spec.names]
-    for f, c in zip(spec.fields, cols):
-        if not f.reason:
-            continue
-        v = pc.utf8_trim_whitespace(c)
-        if not pc.all(pc.match_substring_regex(v, f.pattern)).as_py():
-            return None
-        if f.date:
-            d = v.filter(pc.not_equal(v, ""))
-            try:
-                back = pc.strftime(pc.strptime(d, format="%Y-%m-%d", unit="s"), format="%Y-%m-%d")
-            except pa.ArrowInvalid:
-                return None
-            if not pc.all(pc.equal(back, d)).as_py():
-                return None
-    # enclosures with blanks around them are kept by the fast parser as text: leave such lines to the strict one
-    if any(pc.any(pc.match_substring_regex(c, r'^[ \t]+"')).as_py() for c in cols):
+    except (pa.ArrowInvalid, UnicodeError):
         return None
-    return cols
+    return [t[n].combine_chunks() for n in spec.names] if t.num_rows == len(lines) else None
 
 
-def _parse_block(ids: pa.Array, lines: pa.Array, spec: RecordSpec, patterns: dict, out: list) -> None:
-    """Appends (ids, reasons, columns) of the block to out, halving it where the fast path fails."""
-    n = len(lines)
-    cols = _bulk(lines, spec) if n > spec.leaf // 4 else None
-    if cols is not None:
-        out.append((ids, pa.nulls(n, pa.string()), cols))
-    elif n <= spec.leaf:
-        got = [diagnose(x, spec, patterns) for x in lines.to_pylist()]
-        out.append((ids, pa.array([r for r, _ in got], pa.string()), [pa.array([p[k] if p else None for _, p in got], pa.string()) for k in range(len(spec.fields))]))
-    else:
-        h = n // 2
-        _parse_block(ids[:h], lines[:h], spec, patterns, out)
-        _parse_block(ids[h:], lines[h:], spec, patterns, out)
+def _dates(v: pa.Array) -> pa.Array:
+    """Which of the strings yyyy-mm-dd are dates; the empty one counts as one. Impossible days come back as other days, or not at all."""
+    kinds = v.dictionary_encode()
+    good = pa.array([x == "" or _is_date(x) for x in kinds.dictionary.to_pylist()], pa.bool_())
+    return good.take(kinds.indices)
+
+
+def _valid(cols: list[pa.Array], spec: RecordSpec) -> pa.Array:
+    """Which rows of a parsed block have valid values in all fields."""
+    ok = pa.array([True] * len(cols[0]), pa.bool_())
+    for f, c in zip(spec.fields, cols):
+        if f.reason:
+            v = pc.utf8_trim_whitespace(c)
+            good = pc.match_substring_regex(v, f.pattern)
+            ok = pc.and_(ok, pc.and_(good, _dates(pc.if_else(good, v, ""))) if f.date else good)
+    return ok
+
+
+def _parse_block(ids: pa.Array, lines: pa.Array, spec: RecordSpec, out: list, strict: list) -> None:
+    """Appends (ids, columns) of the valid lines to out, and (ids, lines) of the single ones that fail to strict."""
+    shape = rf"^{_FIELD}(?:,{_FIELD}){{{len(spec.fields) - 1}}}$"
+    sound = pc.match_substring_regex(lines, shape)
+    strict.append((ids.filter(pc.invert(sound)), lines.filter(pc.invert(sound))))
+    todo = [(ids.filter(sound), lines.filter(sound))]
+    while todo:
+        i, x = todo.pop()
+        if not len(x):
+            continue
+        cols = _bulk(x, spec)
+        if cols is not None:
+            ok = _valid(cols, spec)
+            out.append((i.filter(ok), [c.filter(ok) for c in cols]))
+            strict.append((i.filter(pc.invert(ok)), x.filter(pc.invert(ok))))
+        elif len(x) == 1:
+            strict.append((i, x))
+        else:
+            h = len(x) // 2
+            todo += [(i[:h], x[:h]), (i[h:], x[h:])]
 
 
 def parse_records(df: DataFrame, id_col: str, line_col: str, spec: RecordSpec) -> DataFrame:
@@ -189,26 +188,31 @@ def parse_records(df: DataFrame, id_col: str, line_col: str, spec: RecordSpec) -
             keep = pc.fill_null(keep, False)
             ids, lines = ids.filter(keep), lines.filter(keep)
             out: list = []
+            strict: list = []
             for at in range(0, len(lines), spec.block):
-                _parse_block(ids[at : at + spec.block], lines[at : at + spec.block], spec, patterns, out)
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([x[0] for x in out]), pa.concat_arrays([x[1] for x in out])]
-                    + [pa.concat_arrays([x[2][k] for x in out]) for k in range(len(spec.fields))],
-                    ["id", "reason"] + [f"f{k}" for k in range(len(spec.fields))],
-                )
+                _parse_block(ids[at : at + spec.block], lines[at : at + spec.block], spec, out, strict)
+            names = ["id", "reason"] + [f"f{k}" for k in range(len(spec.fields))]
+            for i, cols in out:
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([i, pa.nulls(len(i), pa.string()), *cols], names)
+            for i, x in strict:
+                if len(i):
+                    got = [diagnose(v, spec, patterns) for v in x.to_pylist()]
+                    yield pa.RecordBatch.from_arrays([i, pa.array([r for r, _ in got], pa.string()), *(pa.array([p[k] if p else None for _, p in got], pa.string()) for k in range(len(spec.fields)))], names)
 
     return spread(df.select(F.col(id_col).alias("id"), F.col(line_col).alias("line")), "id").mapInArrow(run, schema)
 
 
 def typed(parsed: DataFrame, spec: RecordSpec, id_name: str) -> DataFrame:
-    """The valid rows with each field cast to its type; an empty value of a non-string field is null."""
-
-    def cast(k: int, f: Field) -> Column:
-        v = F.trim(F.col(f"f{k}"))
-        return v.alias(f.name) if f.type == "string" else F.nullif(v, F.lit("")).try_cast(f.type).alias(f.name)
+    """The valid rows with each field cast to its type; an empty value of a non-string field is null.
 
-    return parsed.filter("reason is null").select(F.col("id").alias(id_name), *(cast(k, f) for k, f in enumerate(spec.fields)))
+    unread names the fields, in order, whose value is not of their type and stands as null; null where there are none. (A field
+    without a rule does not make its row fail.)
+    """
+    value = lambda k: F.nullif(F.trim(F.col(f"f{k}")), F.lit(""))
+    cast = lambda k, f: F.trim(F.col(f"f{k}")).alias(f.name) if f.type == "string" else value(k).try_cast(f.type).alias(f.name)
+    lost = [F.when(value(k).isNotNull() & value(k).try_cast(f.type).isNull(), f.name) for k, f in enumerate(spec.fields) if f.type != "string"]
+    return parsed.filter("reason is null").select(F.col("id").alias(id_name), *(cast(k, f) for k, f in enumerate(spec.fields)), F.nullif(F.concat_ws(",", *lost), F.lit("")).alias("unread"))
 
 
 def rejected(parsed: DataFrame, id_name: str) -> DataFrame:

@@ -30,9 +30,9 @@ def _tables(spark: SparkSession, sf: str, edges: list[orphans.Edge]) -> dict[str
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    t = _tables(spark, sf, FOUND_EDGES)
-    c = orphans.cascade(t, PARENTS, FOUND_EDGES)
-    return c.filter("depth = 0").select("table_name", "field_name", F.col("row").cast("bigint").alias("row_id"), F.date_format("t", "yyyy-MM").alias("period"), "reason")
+    c = orphans.cascade(_tables(spark, sf, ALL_EDGES), PARENTS, ALL_EDGES)
+    asked = F.concat_ws(".", "table_name", "field_name").isin([f"{e.child}.{e.field}" for e in FOUND_EDGES])
+    return c.filter("depth = 0").filter(asked).select("table_name", "field_name", F.col("row").cast("bigint").alias("row_id"), F.date_format("t", "yyyy-MM").alias("period"), "reason")
 
 
 def p1_report(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +76,7 @@ select table_name, field_name, row_id, strftime(t, '%Y-%m') as period, case when
 from judged where not ok"""
 
 _P4 = """
-with c as (select *, lower(op) in ('delete', 'd', 'tombstone') gone, coalesce(lsn, epoch_us(last_scraped_utc)) p from scraped_changes),
+with c as (select *, lower(trim(op)) in ('delete', 'd', 'tombstone', 'remove', 'del') gone, coalesce(lsn, epoch_us(last_scraped_utc)) p from scraped_changes),
      e as (select document_id, max(p) filter (gone) ended, max(p) filter (not gone) made from c group by 1)
 select e.document_id{cols} from e left join c on c.document_id = e.document_id and not c.gone and c.p > coalesce(e.ended, -1)
 where made is not null and (ended is null or made > ended) group by e.document_id"""
@@ -95,22 +95,26 @@ with l as (select row_id, raw_line x from ratings_raw where trim(raw_line) <> ''
 
 _P1_REPORT = """
 with spans as (select distinct 'd' p, lower(trim(document_id)) k, first_recorded_utc a, removed_utc b from index_state union all select distinct 'm', lower(trim(opdb_id)), first_seen_at, removed_at from machines),
-     refs as (select 'index_state' table_name, 'machine_id' field_name, document_id r, lower(trim(machine_id)) k, first_recorded_utc t, 'm' p from index_state
-        union all select 'search_hits', 'document_id', hit_id::varchar, lower(trim(document_id)), retrieved_at, 'd' from search_hits
-        union all select 'search_hits', 'machine_id', hit_id::varchar, lower(trim(machine_id)), retrieved_at, 'm' from search_hits
-        union all select 'dead_letters', 'document_id', letter_id::varchar, lower(trim(document_id)), last_attempt_utc, 'd' from dead_letters
-        union all select 'chunks', 'document_id', chunk_id, lower(trim(document_id)), last_scraped_utc, 'd' from chunks),
-     judged as (select r.table_name, r.field_name, r.r, r.k, r.t, r.p, count(s.k) n, min(s.a) f, coalesce(bool_or(r.t >= s.a and (s.b is null or r.t < s.b)), false) ok
+     refs as (select 'index_state' table_name, 'machine_id' field_name, concat_ws('@', document_id, epoch_us(first_recorded_utc)) r, lower(trim(machine_id)) k, first_recorded_utc t, 'm' p, lower(trim(document_id)) own, first_recorded_utc born from index_state
+        union all select 'search_hits', 'document_id', hit_id::varchar, lower(trim(document_id)), retrieved_at, 'd', null, null from search_hits
+        union all select 'search_hits', 'machine_id', hit_id::varchar, lower(trim(machine_id)), retrieved_at, 'm', null, null from search_hits
+        union all select 'dead_letters', 'document_id', letter_id::varchar, lower(trim(document_id)), last_attempt_utc, 'd', null, null from dead_letters
+        union all select 'chunks', 'document_id', chunk_id, lower(trim(document_id)), last_scraped_utc, 'd', null, null from chunks),
+     judged as (select r.table_name, r.field_name, r.r, r.k, r.t, r.p, r.own, r.born, count(s.k) n, min(s.a) f, coalesce(bool_or(r.t >= s.a and (s.b is null or r.t < s.b)), false) ok
         from refs r left join spans s on r.p = s.p and r.k = s.k where r.k is not null and r.k <> '' group by all),
-     direct as (select table_name, field_name, r, t, case when n = 0 then 'missing' when t < f then 'late' else 'deleted' end reason from judged where not ok
+     direct as (select table_name, field_name, r, t, own, born, case when n = 0 then 'missing' when t < f then 'late' else 'deleted' end reason from judged where not ok
         qualify row_number() over (partition by table_name, field_name, r order by t nulls first, reason) = 1),
-     inherited as (select table_name, field_name, r, t, 'inherited' reason from judged j where p = 'd' and k in (select lower(trim(r)) from direct where table_name = 'index_state')
-        and not exists (select 1 from direct d where d.table_name = j.table_name and d.field_name = j.field_name and d.r = j.r)
+     lost as (select distinct own, born from direct where table_name = 'index_state'),
+     -- a reference is lost where all lives that hold at its time are
+     held as (select j.table_name, j.field_name, j.r, j.t, count(*) lives, count(l.own) gone from judged j join spans s on s.p = 'd' and s.k = j.k and j.t >= s.a and (s.b is null or j.t < s.b)
+        left join lost l on l.own = s.k and l.born = s.a where j.p = 'd' group by 1, 2, 3, 4),
+     inherited as (select table_name, field_name, r, t, 'inherited' reason from held h where lives = gone
+        and not exists (select 1 from direct d where d.table_name = h.table_name and d.field_name = h.field_name and d.r = h.r)
         qualify row_number() over (partition by table_name, field_name, r order by t nulls first) = 1),
-     every as (select *, 1 d, 0 i from direct union all select *, 0, 1 from inherited)
+     every as (select table_name, field_name, t, reason, 1 d, 0 i from direct union all select table_name, field_name, t, reason, 0, 1 from inherited)
 select table_name, field_name, strftime(t, '%Y-%m') as period, reason, sum(d)::bigint as direct, sum(i)::bigint as inherited from every group by all"""
 
-_SENT = "arg_max_null({0}, c.p) filter (lower(op) in ('insert', 'i', 'create') or {0} is not null) as {0}"
+_SENT = "arg_max_null({0}, c.p) filter (lower(trim(op)) in ('insert', 'i', 'create', 'add', 'c') or {0} is not null) as {0}"
 
 ORACLE = {
     "p1_found": _P1,
@@ -121,5 +125,8 @@ ORACLE = {
     "p5_rows": _LINES
     + """select row_id, f[1] as name, try_cast(trim(f[2]) as bigint) as user_id, try_cast(nullif(trim(f[3]), '') as bigint) as ifpa_id, try_cast(trim(f[4]) as double) as rating,
         try_cast(nullif(trim(f[5]), '') as double) as rd, try_cast(nullif(trim(f[6]), '') as double) as lower_bound, nullif(trim(f[7]), '') as last_rating_period,
-        try_cast(nullif(trim(f[8]), '') as int) as rating_class from r where reason is null""",
+        try_cast(nullif(trim(f[8]), '') as int) as rating_class,
+        nullif(concat_ws(',', case when trim(f[2]) <> '' and try_cast(trim(f[2]) as bigint) is null then 'user_id' end, case when trim(f[3]) <> '' and try_cast(trim(f[3]) as bigint) is null then 'ifpa_id' end,
+            case when try_cast(trim(f[4]) as double) is null then 'rating' end, case when trim(f[5]) <> '' and try_cast(trim(f[5]) as double) is null then 'rd' end,
+            case when trim(f[6]) <> '' and try_cast(trim(f[6]) as double) is null then 'lower_bound' end, case when trim(f[8]) <> '' and try_cast(trim(f[8]) as int) is null then 'rating_class' end), '') as unread from r where reason is null""",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -30,9 +29,14 @@ def build(master: str | None = None, app: str = "tiltyard", **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir. Unset, a temporary one is made in local mode, and a cluster is refused.
+
+    On a cluster a temporary folder would be another one on each node, so that written tables could not be read back whole.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tiltyard-")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -59,15 +63,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pieces(df: DataFrame, per_core: int) -> int:
+    """Partitions for Python work: a few for each core, more where the estimated size would make them larger than 64 MB."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # derived tables have no estimate but their inputs' product: a bound keeps that from asking for millions of tasks
+    return max(per_core * df.sparkSession.sparkContext.defaultParallelism, min(size >> 26, 1_000_000))
+
+
 def spread(df: DataFrame, *by: str, per_core: int = 3) -> DataFrame:
-    """df in enough partitions to keep every core busy with Python work; unchanged where a plain scan has them already.
+    """df in enough partitions to keep every core busy with Python work.
 
-    Behind a shuffle the partitions are never counted, as that would run it: AQE may have drawn them together, so they are
-    made anew by key.
+    Rows of a plain scan stay where they are read wherever the scan has a split for each core, as it does on all but small
+    tables: no text is shuffled. A table in fewer splits (one small file), or rows behind a shuffle, whose partitions AQE may
+    have drawn together, are parted by key.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    shuffled = re.search(r"(?m)^[\s:+|-]*(?:Aggregate|Join|Sort|Window|Repartition|RebalancePartitions|Deduplicate|Distinct|GlobalLimit)", plan)
-    if not shuffled and df._jdf.queryExecution().toRdd().getNumPartitions() >= 2 * want:
+    q = df._jdf.queryExecution()
+    adaptive = q.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec"
+    if not adaptive and q.toRdd().getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
         return df
-    return df.repartition(per_core * want, *by)
+    return df.repartition(_pieces(df, per_core), *by)
+
+
+def distinct_by(df: DataFrame, *by: str, per_core: int = 3) -> DataFrame:
+    """One row per key, in enough partitions for Python work: parted by key once, which the removal of duplicates uses too."""
+    return df.repartition(_pieces(df, per_core), *by).dropDuplicates(list(by))
+
+
+def committed(spark: SparkSession, path: str) -> list[int]:
+    """The numbers n of the tables path/v=n that were written to the end, ascending."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    mark = lambda n: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(mark(n)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiltyard.session import scratch
+from tiltyard.session import committed, scratch
 
 BUDGET = 3  # attempts after which a document is left alone
 
@@ -38,22 +38,28 @@ def ingest_outcomes(batch: DataFrame, state: DataFrame, key: str, content_hash:
 
 
 class StateTable:
-    """A small keyed state in the shared folder: each batch writes a new version, the former one stays until it is complete.
+    """A keyed state in the shared folder: one complete table v=n for each batch n, the last two of which are kept.
 
-    The batch id is part of the version, so a batch that is run again after a failure writes the same version again.
+    A version counts once it is written to the end, so the state survives a restart. A batch reads the last version before
+    its own number: run again after a failure, it starts from the same state and writes the same version again.
     """
 
     def __init__(self, spark: SparkSession, schema: str, path: str | None = None):
-        self.spark, self.schema, self.path, self.version = spark, schema, path or scratch(spark, "state"), None
+        self.spark, self.schema, self.path = spark, schema, path or scratch(spark, "state")
 
-    def read(self) -> DataFrame:
-        if self.version is None:
+    def read(self, before: int | None = None) -> DataFrame:
+        """The state ahead of batch `before`, or the last one; empty at first."""
+        done = [n for n in committed(self.spark, self.path) if before is None or n < before]
+        if not done:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={self.version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={done[-1]}")
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
-        self.version = batch
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        for n in [n for n in committed(self.spark, self.path) if n < batch][:-1]:
+            at = jvm.Path(f"{self.path}/v={n}")
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def count_view(spark: SparkSession, feed: DataFrame, keys: list[str], checkpoint: str, state: StateTable) -> StateTable:
@@ -61,7 +67,7 @@ def count_view(spark: SparkSession, feed: DataFrame, keys: list[str], checkpoint
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         new = batch.groupBy(*keys).agg(F.count("*").alias("n"))
-        state.write(state.read().unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n")), batch_id)
+        state.write(state.read(batch_id).unionByName(new).groupBy(*keys).agg(F.sum("n").alias("n")), batch_id)
 
     drain(feed, handle, checkpoint)
     return state
@@ -72,7 +78,7 @@ def retry_budget(feed: DataFrame, key: str, failed: Column, checkpoint: str, sta
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         new = batch.filter(failed).groupBy(F.col(key).alias("key")).agg(F.count("*").alias("attempts"))
-        merged = state.read().unionByName(new).groupBy("key").agg(F.least(F.sum("attempts"), F.lit(BUDGET).cast("bigint")).alias("attempts"))
+        merged = state.read(batch_id).unionByName(new).groupBy("key").agg(F.least(F.sum("attempts"), F.lit(BUDGET).cast("bigint")).alias("attempts"))
         state.write(merged, batch_id)
 
     drain(feed, handle, checkpoint)
