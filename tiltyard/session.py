@@ -66,8 +66,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _pieces(df: DataFrame, per_core: int) -> int:
     """Partitions for Python work: a few for each core, more where the estimated size would make them larger than 64 MB."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    # derived tables have no estimate but their inputs' product: a bound keeps that from asking for millions of tasks
-    return max(per_core * df.sparkSession.sparkContext.defaultParallelism, min(size >> 26, 1_000_000))
+    known = size if size < 1 << 50 else 0  # rows made in memory and products of joins have no true estimate
+    return max(per_core * df.sparkSession.sparkContext.defaultParallelism, known >> 26)
 
 
 def spread(df: DataFrame, *by: str, per_core: int = 3) -> DataFrame:
