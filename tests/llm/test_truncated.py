@@ -38,7 +38,7 @@ def test_found_and_limits(spark):
     want = {r[0] for r in rows if r[1] == "cutter" and not r[2].rstrip().endswith(".")} | {k, k + 2, k + 5}
     assert cut == want
     by = {r.source: r for r in truncated.by_source(c, "source").collect()}
-    assert by["cutter"].limit_size == 300 and by["whole"].limit_size is None and by["cutter"].cut_at_limit == by["cutter"].cut_texts
+    assert by["cutter"].limits == "300 chars" and by["whole"].limits is None and by["cutter"].cut_at_limit == by["cutter"].cut_texts
     assert truncated.cut_texts(df.limit(0), "id", "text", "source").count() == 0
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"https?://[^\s)>\]]+|[\w#]+(?:[-'’/.,][\w#]+)*|\n|[^\w\s]")
+_TOKEN = re.compile(r"https?://[^\s)>\]]+|\.{2,}|[\w#]+(?:[-'’/.,][\w#]+)*|\n|[^\w\s]")
 _WRAP = re.compile(r"(?<=\S)\n(?!https?:)(?=[a-zß-ÿ])")
 _LINK = re.compile(r"https?://[^\s)>\]]+")
 _CITATION = re.compile(r"(?:\s*(?:\[[^\[\]]{1,60}\]|\([^()]{1,60}\)))+$")
@@ -30,11 +30,11 @@ CLOSERS = "\"'”’»)]}*_`"
 # Multipliers of the rolling hash: odd 64-bit constants.
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _SLICE = 1_000_000  # tokens counted at a time, so that long texts don't fill a worker's memory
-_BITS = 22  # size of the candidate filter: 2 ** 22 bits, 512 KB whatever the data
+_LEAST_BITS, _MOST_BITS = 22, 27  # size of the candidate filter: 512 KB to 16 MB, about 16 bits for each text that asks
 
 
 def tokens(text: str) -> list[str]:
-    """Words, links, punctuation marks and line ends; digits masked; a line end before a small letter is a wrapped line."""
+    """Words, links, punctuation marks (dots in a row are one, and no full stop) and line ends; digits masked; a line end before a small letter is a wrapped line."""
     t = _WRAP.sub(" ", text)
     if "://" in t:
         t = _LINK.sub(_link_shape, t)
@@ -88,10 +88,13 @@ def keys_of_end(text: str, hashes: _Hashes) -> list[int]:
 
 
 def candidate_bits(ends: DataFrame, keys: str) -> bytes:
-    """A filter of the keys that will be asked for: at most 512 KB on the driver, whatever their number."""
-    k = ends.select(F.explode(keys).alias("k")).select(F.expr(f"cast((k & {(1 << _BITS) - 1}) div 32768 as int)").alias("part"), F.expr("cast((k & 32767) as bigint)").alias("bit"))
+    """A filter of the keys that will be asked for, sized by the number of texts that ask; at most 16 MB on the driver, beyond
+    which more runs pass it than are asked for, and the join drops them."""
+    n = max(1, ends.count()).bit_length() + 4
+    bits = max(_LEAST_BITS, min(_MOST_BITS, n))
+    k = ends.select(F.explode(keys).alias("k")).select(F.expr(f"cast((k & {(1 << bits) - 1}) div 32768 as int)").alias("part"), F.expr("cast((k & 32767) as bigint)").alias("bit"))
     rows = k.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    out = bytearray((1 << _BITS) // 8)
+    out = bytearray((1 << bits) // 8)
     for r in rows:
         out[r["part"] * 4096 : (r["part"] + 1) * 4096] = r["bits"]
     return bytes(out)
@@ -108,6 +111,7 @@ def follow_counts(df: DataFrame, text: str, wanted: bytes) -> DataFrame:
 
     def count(col: list[int], hashes: _Hashes) -> pa.RecordBatch:
         bits = np.frombuffer(wanted, np.uint8)
+        mask = 8 * len(bits) - 1
         stops = np.array([hashes[t] for t in sorted(TERMINALS)], np.uint64)
         nl = np.uint64(hashes["\n"])
         h = np.array(col, np.uint64)
@@ -131,7 +135,7 @@ def follow_counts(df: DataFrame, text: str, wanted: bytes) -> DataFrame:
         term = np.concatenate([nxt_stop[1:], nxt_stop[2:], nxt_stop[4:], hs])
         ln = np.concatenate([nxt_line[1:], nxt_line[2:], nxt_line[4:], ~hs])
         last = np.concatenate([nxt_eot[1:], nxt_eot[2:], nxt_eot[4:], np.zeros(len(kh), bool)])
-        q = k & ((1 << _BITS) - 1)
+        q = k & mask
         keep = ((bits[q >> 3] >> (q & 7).astype(np.uint8)) & 1).astype(bool) & ~last
         k, term, ln = k[keep], term[keep], ln[keep]
         u, inv = np.unique(k, return_inverse=True)
@@ -152,39 +156,41 @@ def follow_counts(df: DataFrame, text: str, wanted: bytes) -> DataFrame:
                     col += [hashes[x] for x in tokens(t.strip())]
                     col.append(hashes["\x00"])
                 if len(col) > _SLICE:
-                    yield count(col, hashes)
+                    yield count(col + [hashes["\x00"]] * 5, hashes)
                     col = []
-            if len(col) >= 5:
-                yield count(col, hashes)
+            if col:
+                yield count(col + [hashes["\x00"]] * 5, hashes)
 
     counts = df.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "k long, n long, term long, line long")
     return counts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("term").alias("term"), F.sum("line").alias("line"))
 
 
 def with_rates(ends: DataFrame, texts: DataFrame, text: str, row: str) -> DataFrame:
-    """Adds line_rate, end_rate, head_rate to ends (row, kind, text_hash, keys).
+    """Adds line_rate, stop_rate, head_rate, dots_rate, word_rate to ends (row, kind, text_hash, keys).
 
-    Of the longest run of last words seen often enough elsewhere: the share of its other occurrences that end a line, or a
-    line or sentence. head_rate: of the other units that start like the last one, the share that end without a full stop.
+    Of the longest run of last words seen often enough elsewhere: the share of its other occurrences that end a line, and the
+    share that a full stop follows. head_rate: of the other units that start like the last one, the share that end without a full stop. dots_rate: of these
+    units and the other texts whose last one starts so, the share that end in dots ("More next week...").
     Null where nothing like it is seen elsewhere. Copies of a text count once for its end.
     """
     counts = follow_counts(texts, text, candidate_bits(ends.filter("kind in ('open', 'dots')"), "keys"))
     e = ends.select(row, "kind", "text_hash", F.posexplode("keys").alias("g", "k"))
     once = e.dropDuplicates(["k", "text_hash"])
-    fin = once.groupBy("k").agg(F.count_if(F.col("kind") != "dots").alias("fn"), F.count_if(F.col("kind") == "open").alias("fo"))
+    fin = once.groupBy("k").agg(F.count_if(F.col("kind") != "dots").alias("fn"), F.count_if(F.col("kind") == "open").alias("fo"), F.count_if(F.col("kind") == "dots").alias("fd"))
     asked = e.filter("kind in ('open', 'dots')")
     c = asked.select("k").distinct().join(counts, "k", "left").join(fin, "k", "left").na.fill(0)
-    c = c.select("k", (F.col("n") + F.col("fn")).alias("n"), "term", (F.col("line") + F.col("fo")).alias("line"), "fo")
+    c = c.select("k", (F.col("n") + F.col("fn")).alias("n"), "term", (F.col("line") + F.col("fo")).alias("line"), "fd")
     own = (F.col("kind") == "open").cast("int")
-    j = asked.join(c, "k").select(row, "g", (F.col("n") - own).alias("n"), (F.col("line") - own).alias("line"), (F.col("term")).alias("term"))
+    j = asked.join(c, "k").select(row, "g", (F.col("n") - own).alias("n"), (F.col("line") - own).alias("line"), "term", (F.col("fd") - (F.col("kind") == "dots").cast("int")).alias("fd"))
     enough = (F.col("g").isin(1, 2) & (F.col("n") >= 4)) | ((F.col("g") == 0) & (F.col("n") >= 1))
-    best = j.groupBy(row).agg(F.max(F.when(enough, F.struct("g", "n", "line", "term"))).alias("b"), F.max(F.when(F.col("g") == 3, F.struct("n", "line"))).alias("h"), F.max(F.when(F.col("g") == 0, F.struct("n", "line", "term"))).alias("w"))
+    best = j.groupBy(row).agg(F.max(F.when(enough, F.struct("g", "n", "line", "term"))).alias("b"), F.max(F.when(F.col("g") == 3, F.struct("n", "line", "fd"))).alias("h"), F.max(F.when(F.col("g") == 0, F.struct("n", "line", "term"))).alias("w"))
     share = lambda a, n: F.when(F.col(n) > 0, a / F.col(n))
     rates = best.select(
         row,
         share(F.col("b.line"), "b.n").alias("line_rate"),
-        share(F.col("b.line") + F.col("b.term"), "b.n").alias("end_rate"),
+        share(F.col("b.term"), "b.n").alias("stop_rate"),
         share(F.col("h.line"), "h.n").alias("head_rate"),
+        F.when(F.col("h.fd") > 1, F.col("h.fd") / (F.col("h.n") + F.col("h.fd"))).alias("dots_rate"),
         share(F.col("w.line") + F.col("w.term"), "w.n").alias("word_rate"),
     )
     return ends.join(rates, row, "left")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,24 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiltyard.llm import endings
-from tiltyard.session import cut, spread
+from tiltyard.session import cut, distinct_by
 
-#: What stands in place of an answer, lower case, without blanks.
-PLACEHOLDERS = frozenset(
-    """- -- --- – — . .. ... … ? ?? n/a na n.a. n.a n/a. none null nil nan undefined empty blank tbd todo unknown [] {} () "" '' `` [null] (null) <null> (none) [none] (empty) [empty]
-    (noanswer) [noanswer] noanswer noresponse (noresponse) [noresponse] noanswer. noresponse. <br> <br/> <p></p> &nbsp; xxx lorem""".split()
-)
-_INVISIBLE = re.compile(r"[\s­​-‏  ⁠﻿]+")
+#: What tables and programs write where there is no value; letters only, lower case.
+NULL_WORDS = frozenset("na none null nil nan undefined empty blank tbd todo unknown noanswer noresponse".split())
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;")
 
 
 def is_empty(answer: str | None) -> bool:
-    """No content: null, blank, invisible characters, empty markup, punctuation alone or a placeholder."""
-    a = _INVISIBLE.sub("", answer or "").lower()
-    if a in PLACEHOLDERS:
-        return True
-    a = _TAG.sub("", a)
-    return a in PLACEHOLDERS or not any(c.isalnum() for c in a)
+    """No content: null, blank, invisible characters, empty markup, marks without a letter or digit, or a null word alone."""
+    bare = "".join(c for c in _TAG.sub("", answer or "") if c.isalnum()).lower() if len(answer or "") < 200 or "<" in answer else answer
+    return not any(c.isalnum() for c in bare) or bare in NULL_WORDS
 
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -62,11 +57,18 @@ def tiles(a: list[str], b: list[str], least: int = 2) -> list[tuple[int, int, in
 def is_copy(question: str | None, answer: str, extra: int = 4) -> bool:
     """The answer only gives back the question: its words are tiled by runs of the question but for a few framing words.
 
-    A part of the question counts where it starts like the question or covers half of it.
+    A part of the question counts where it starts like the question or covers half of it. Answers of any length are tiled, unless
+    more words than the framing allows stand nowhere in the question: those no tile can cover.
     """
     q, a = _WORD.findall((question or "").lower()), _WORD.findall(answer.lower())
-    if not q or not a or len(a) > 6 * len(q) + extra:
+    if not q or not a:
         return False
+    known, foreign = set(q), 0
+    for w in a:
+        if w not in known:
+            foreign += 1
+            if foreign > extra:
+                return False
     t = tiles(a, q)
     covered = sum(n for _, _, n in t)
     rest = len(a) - covered
@@ -107,14 +109,24 @@ MARKS = {"ß": "de", "ä": "de", "ö": "de", "ü": "de", "ñ": "es", "¿": "es",
 _QUOTED = re.compile(r'"[^"\n]{1,120}"|„[^“\n]{1,120}“|«[^»\n]{1,120}»|“[^”\n]{1,120}”|https?://\S+')
 
 
+#: Scripts by ranges of code points.
+SCRIPTS = (
+    (0x250, "latin"), (0x370, "other"), (0x400, "greek"), (0x530, "cyrillic"), (0x590, "other"), (0x600, "hebrew"), (0x780, "arabic"), (0x900, "other"), (0x980, "deva"),
+    (0xE00, "other"), (0xE80, "thai"), (0x3040, "other"), (0x3100, "kana"), (0x4E00, "other"), (0xA000, "han"), (0xAC00, "other"), (0xD7B0, "hangul"),
+)
+_ENDS = [e for e, _ in SCRIPTS]
+
+
 def _script(text: str) -> str:
-    """The script of most letters: by Unicode block."""
+    """The script of most letters."""
+    if text.isascii():
+        return "latin" if any(map(str.isalpha, text)) else ""
     n: dict[str, int] = {}
-    for c in text:
+    for c, k in Counter(text).items():
         if c.isalpha():
-            o = ord(c)
-            s = "latin" if o < 0x250 else "greek" if o < 0x400 else "cyrillic" if o < 0x530 else "hebrew" if 0x590 <= o < 0x600 else "arabic" if 0x600 <= o < 0x780 else "deva" if 0x900 <= o < 0x980 else "thai" if 0xE00 <= o < 0xE80 else "kana" if 0x3040 <= o < 0x3100 else "hangul" if 0xAC00 <= o < 0xD7B0 else "han" if 0x4E00 <= o < 0xA000 else "other"
-            n[s] = n.get(s, 0) + 1
+            i = bisect_right(_ENDS, ord(c))
+            s = SCRIPTS[i][1] if i < len(SCRIPTS) else "other"
+            n[s] = n.get(s, 0) + k
     return max(n, key=n.get) if n else ""
 
 
@@ -127,9 +139,10 @@ def languages(text: str) -> dict[str, float]:
             ls = _BY_WORD.get(part, ())
             for x in ls:
                 out[x] = out.get(x, 0) + 1 / len(ls)
-    for c in text.lower():
-        if c in MARKS:
-            out[MARKS[c]] = out.get(MARKS[c], 0) + 0.3
+    if not text.isascii():
+        for c, k in Counter(text.lower()).items():
+            if c in MARKS:
+                out[MARKS[c]] = out.get(MARKS[c], 0) + 0.3 * k
     return out
 
 
@@ -147,38 +160,76 @@ def other_language(question: str | None, answer: str) -> bool:
     return q != a and la[a] >= 1.5 and la[a] >= 2 * la.get(q, 0)
 
 
-# Refusal grammar: a refusal is a clause of inability, unwillingness, lack of sources or lack of scope.
-_CANT = r"(?:can(?:no|')t|can not|cannot|could(?:n't| not)|won't|will not|would(?:n't| not)|am not able|'m not able|not able|unable|isn't possible|is not possible|not possible|unwilling|must decline|have to decline|decline|prefer not|rather not|must refuse|refuse)"
-_TELL = r"(?:answer|help|assist|provide|say|tell|comment|respond|reply|advise|discuss|share|speculate|guess|confirm|resolve[d]?|complete[d]?|find|locate|give|do that|do this|be able)"
-_STUFF = r"(?:answer|information|info|source|sources|record|records|document|documents|material|passage|passages|data|details|evidence|knowledge|idea|reference|references|content|text|pages?)"
-REFUSALS = [
-    re.compile(p, re.I)
-    for p in (
-        rf"\b{_CANT}\b[^.!?;]{{0,60}}\b{_TELL}\b",
-        rf"\b{_TELL}\b[^.!?;]{{0,40}}\b(?:isn't|is not|not) possible\b",
-        rf"\b(?:this|that|it|request|question)\b[^.!?;]{{0,30}}\b(?:can't|cannot|could not) be (?:answered|resolved|completed|determined|confirmed|processed)",
-        rf"\bI(?: do not| don't|'ve no| have no)\b[^.!?;]{{0,20}}\b(?:know|have|see|hold|find|{_STUFF})\b",
-        rf"\bI (?:must|have to|will have to|need to) (?:leave|pass|decline|skip|stop|refuse)\b",
-        rf"\b(?:there is|there's|there are|there was|we have|I have|I find|I found|found|offer|see)\s+(?:no|not any|nothing)\b[^.!?;]{{0,40}}(?:\b{_STUFF}\b|$)",
-        rf"\bno (?:supporting |relevant |reliable |matching |suitable )*{_STUFF}\b[^.!?;]{{0,40}}\b(?:found|available|exists?|given|cite|retrieved|located|rely|on hand)\b",
-        rf"\bnothing\b[^.!?;]{{0,30}}\b(?:found|retrieved|relevant|lets me|helps me|allows me)\b",
-        r"\b(?:corpus|library|index|archive|collection|documents|sources|pages|manuals|material)\b[^.!?;]{0,30}\b(?:holds? nothing|contains? nothing|say nothing|stay(?:s)? silent|are silent|is silent|end(?:s)? before|do(?:es)? not (?:cover|mention|say|address)|don't (?:cover|mention|say|address)|lacks?)\b",
-        r"\b(?:outside|beyond|not within|out of)\b[^.!?;]{0,20}\b(?:scope|what I|my|me|reach|remit|expertise|ability|area)\b",
-        r"\bnot be appropriate\b|\bnot appropriate for me\b|\bnot something I(?:'m| am| can)\b|\bisn't something I\b|\bnot at liberty\b",
-        r"\bstick to topics\b|\bthis one isn't\b|\bonly (?:answer|cover|discuss) (?:questions|topics)\b",
-        r"\b(?:sorry|apolog\w+|regret\w*|unfortunately)\b[^.!?]{0,60}\b(?:can't|cannot|unable|no|not|nothing|won't)\b",
-        # French
-        r"\bje (?:ne|n')\b[^.!?]{0,40}\b(?:pas|rien|aucune?)\b[^.!?]{0,50}|\bje ne (?:peux|sais|trouve)\b|\bimpossible de (?:répondre|vous)|\bdépasse ce que je\b|\baucune (?:source|information|réponse|donnée)\b|\bdésolée?\b|\bje refuse\b|\bhors de (?:mon|ma)\b",
-        # German
-        r"\b(?:kann|könnte|möchte|darf|werde) ich\b[^.!?]{0,50}\b(?:nicht|nichts|keine?n?)\b|\bich (?:kann|könnte|möchte|darf|weiß|habe|finde)\b[^.!?]{0,50}\b(?:nicht|nichts|keine?n?)\b|\bleider\b|\btut mir leid\b|\bkeine (?:Quelle|Antwort|Angaben?|Informationen?|Daten)\b|\baußerhalb meine[rs]\b",
-        # Spanish
-        r"\bno (?:puedo|encuentro|tengo|dispongo|sé|me es posible|es posible|estoy)\b|\blo siento\b|\bfuera de mi\b|\bninguna (?:fuente|respuesta|información)\b|\blamento\b",
-        # Italian, Dutch, Portuguese
-        r"\bnon (?:posso|so|trovo|ho|sono in grado)\b|\bmi dispiace\b|\bnessuna (?:fonte|risposta|informazione)\b|\bpurtroppo\b|\bfuori dal(?:la)? mi[oa]\b",
-        r"\b(?:kan|mag|wil) ik\b[^.!?]{0,40}\b(?:niet|geen|niets)\b|\bik (?:kan|weet|vind|heb)\b[^.!?]{0,40}\b(?:niet|geen|niets)\b|\bhelaas\b|\bhet spijt me\b|\bgeen (?:bron|antwoord|informatie)\b|\bbuiten mijn\b",
-        r"\bnão (?:posso|encontro|tenho|sei|consigo)\b|\blamento\b|\binfelizmente\b|\bdesculpe\b",
-    )
-]
+#: The words of the refusal grammar by category. A refusal is a clause by one of the rules of REFUSAL_RULES over them.
+LEXICON = {
+    # English
+    "CANT": "can(?:no|')t|can not|could(?:n't| not)|won't|will not|would(?:n't| not)|am not able|'m not able|not able|unable|isn't possible|not possible|unwilling",
+    "DECLINE": "decline|refuse|pass|skip|leave|prefer not|rather not",
+    "DUTY": "must|have to|need to|ought to|'d|would",
+    "ACT": "answer|help|assist|provide|say|tell|comment|respond|reply|advise|discuss|share|speculate|guess|confirm|resolve|complete|find|locate|give|do that|do this|be able",
+    "DONE": "answered|resolved|completed|determined|confirmed|processed|handled|served",
+    "EVIDENCE": "answers?|information|info|sources?|records?|documents?|materials?|passages?|data|details|evidence|knowledge|idea|references?|content|text|pages?|manuals?|corpus|library|index|archive|collection",
+    "AT_HAND": "found|available|exists?|given|cite|retrieved|located|rely|on hand|indexed",
+    "SILENT": "(?:stay|keep|remain|are|is|fall)s? silent|(?:say|hold|contain|mention|offer)s? nothing|(?:end|stop)s? (?:before|short of)|(?:do(?:es)? not|don't|doesn't) (?:cover|mention|say|address|hold|contain)|lacks?",
+    "REMIT": "scope|reach|remit|expertise|ability|area|competence|what I|my|me",
+    "SUBJECT": "topics?|questions?|subjects?|matters?",
+    "REGRET": r"sorry|apolog\w+|regret\w*|unfortunately|sadly|afraid",
+    "NEG": "can't|cannot|unable|no|not|nothing|won't",
+    "PROPER": "appropriate|at liberty|something I(?:'m| am| can)|my place",
+    # French, German, Spanish, Italian, Dutch, Portuguese: negation, evidence, ability
+    "FR_NON": "pas|rien|aucune?|guère", "FR_EV": "source|information|réponse|donnée|document",
+    "DE_KANN": "kann|könnte|möchte|darf|werde|weiß|habe|finde", "DE_NON": "nicht|nichts|keine?n?", "DE_EV": "Quellen?|Antwort|Angaben?|Informationen?|Daten|Unterlagen",
+    "ES_NO": "puedo|encuentro|tengo|dispongo|sé|me es posible|es posible|estoy", "ES_EV": "fuente|respuesta|información",
+    "IT_NO": "posso|so|trovo|ho|sono in grado", "IT_EV": "fonte|risposta|informazione",
+    "NL_KAN": "kan|mag|wil|weet|vind|heb", "NL_NON": "niet|geen|niets", "NL_EV": "bron|antwoord|informatie",
+    "PT_NO": "posso|encontro|tenho|sei|consigo",
+}
+_GAP = r"[^.!?;]{0,60}?"
+#: (category, rule): <NAME> stands for the words of a category, ~ for anything within a clause.
+REFUSAL_RULES = (
+    ("inability", r"<CANT>\b~\b<ACT>"),
+    ("inability", r"\b<ACT>\b~\b(?:isn't|is not|not) possible\b"),
+    ("inability", r"\b(?:this|that|it|request|question)\b~\b(?:can't|cannot|could not) be <DONE>"),
+    ("unwilling", r"\bI ?<DUTY> <DECLINE>\b"),
+    ("ignorance", r"\bI(?: do not| don't|'ve no| have no)\b~\b(?:know|have|see|hold|find|<EVIDENCE>)\b"),
+    ("no evidence", r"\b(?:there is|there's|there are|there was|we have|I have|I find|I found|found|offer|see)\s+(?:no|not any|nothing)\b(?:~\b<EVIDENCE>\b|$)"),
+    ("no evidence", r"\bno (?:\w+ )?<EVIDENCE>\b~\b<AT_HAND>\b"),
+    ("no evidence", r"\bnothing\b~\b(?:<AT_HAND>|relevant|(?:lets|helps|allows|permits) me)\b"),
+    ("no evidence", r"\b<EVIDENCE>\b~\b(?:<SILENT>)\b"),
+    ("scope", r"\b(?:outside|beyond|not within|out of)\b~\b<REMIT>\b"),
+    ("scope", r"\b(?:stick|keep|limit\w*|confine\w*|restrict\w*) (?:\w+ ){0,2}to (?:\w+ ){0,3}<SUBJECT>\b|\bonly (?:answer|cover|discuss|handle) (?:\w+ ){0,2}<SUBJECT>\b"),
+    ("propriety", r"\b(?:not|isn't|wouldn't)(?: be)? <PROPER>\b"),
+    ("regret", r"\b<REGRET>\b~\b<NEG>\b"),
+    ("inability", r"\bje (?:ne|n')\b~\b<FR_NON>\b|\bje ne (?:peux|sais|trouve)\b|\bimpossible de\b|\bje refuse\b"),
+    ("no evidence", r"\baucune <FR_EV>\b"),
+    ("scope", r"\bdépasse ce que je\b|\bhors de (?:mon|ma)\b"),
+    ("regret", r"\bdésolée?\b"),
+    ("inability", r"\b(?:<DE_KANN> ich|ich <DE_KANN>)\b~\b<DE_NON>\b"),
+    ("no evidence", r"\bkeine <DE_EV>\b"),
+    ("scope", r"\baußerhalb meine[rs]\b"),
+    ("regret", r"\bleider\b|\btut mir leid\b"),
+    ("inability", r"\bno <ES_NO>\b"),
+    ("no evidence", r"\bninguna <ES_EV>\b"),
+    ("scope", r"\bfuera de mi\b"),
+    ("regret", r"\blo siento\b|\blamento\b"),
+    ("inability", r"\bnon <IT_NO>\b"),
+    ("no evidence", r"\bnessuna <IT_EV>\b"),
+    ("scope", r"\bfuori dal(?:la)? mi[oa]\b"),
+    ("regret", r"\bmi dispiace\b|\bpurtroppo\b"),
+    ("inability", r"\b(?:<NL_KAN> ik|ik <NL_KAN>)\b~\b<NL_NON>\b"),
+    ("no evidence", r"\bgeen <NL_EV>\b"),
+    ("scope", r"\bbuiten mijn\b"),
+    ("regret", r"\bhelaas\b|\bhet spijt me\b"),
+    ("inability", r"\bnão <PT_NO>\b"),
+    ("regret", r"\binfelizmente\b|\bdesculpe\b"),
+)
+
+
+def _rule(r: str) -> re.Pattern:
+    return re.compile(re.sub(r"<(\w+)>", lambda m: f"(?:{LEXICON[m[1]]})", r).replace("~", _GAP), re.I)
+
+
+REFUSALS = [(c, _rule(r)) for c, r in REFUSAL_RULES]
 _OFFER = re.compile(r"^(?:is there|anything|can I|could I|would you|may I|do you|shall I|please|try|you (?:may|might|could)|feel free|let me know|consult|contact|ask|y a-t-il|kann ich|puedo|posso)\b[^.!]*\?$|^(?:please|try|feel free|let me know|contact|consult|ask)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+")
 _NOISE = re.compile(r"\s*(?:\[\d+\]|\(p\.? ?\d+\))\s*$")
@@ -191,47 +242,90 @@ def is_refusal(answer: str) -> bool:
         s = s.strip()
         if not s or _OFFER.search(s):
             continue
-        if any(r.search(s) for r in REFUSALS):
+        if any(r.search(s) for _, r in REFUSALS):
             found = True
         elif len(_WORD.findall(s)) > 2:
             return False
     return found
 
 
-#: Words that no sentence ends with.
+#: Words of closed classes (articles, prepositions, conjunctions, possessives, auxiliaries) that must be followed by another.
 UNFINISHED = frozenset(
     """the a an of to and or nor with from into onto than that which whose my your our their its is are was were be been has have had will would can could may might must should because while
     le la les un une des du de et ou avec dans que qui est sont der die das den dem ein eine einen und oder mit für von ist sind el los las una del y o con para que es son il lo gli della e per che è het een van en of met voor""".split()
 )
-_PAIR = {")": "(", "]": "[", "}": "{"}
+_PAIR = {")": "(", "]": "[", "}": "{", "»": "«", "”": "“"}
+#: Elements that HTML lets stand without an end tag, or that have none.
+OPTIONAL_END = frozenset("p li br hr img input td th tr tbody thead dt dd option wbr".split())
+_LEX = re.compile(
+    r"""(?P<fence>^[ \t]*```[^\n`]*|```)|(?P<tick>`)|(?P<strong>\*\*)|(?P<label>^[ \t]*(?:[-*•+]|\(?\d{1,3}[.)]|\(?[a-zA-Z]\))(?=[ \t\n]|$))
+    |(?P<smile>[:;]-?[)(])|(?P<inch>\d\s?")|(?P<tag></?[a-zA-Z][\w-]*(?:\s[^<>]*)?/?>)|(?P<open>[(\[{“„«])|(?P<close>[)\]}”»])|(?P<quote>")|(?P<line>\n)""",
+    re.M | re.X,
+)
 
 
-def open_structure(answer: str) -> bool:
-    """A pushdown parse: whether a fence, bracket, link, quotation or emphasis is still open at the end of the text."""
-    if answer.count("```") % 2:
-        return True
-    text = re.sub(r"```.*?```|`[^`\n]*`", " ", answer, flags=re.S)
-    text = re.sub(r"(?m)^\s*(?:\d+|[a-zA-Z])\)\s", " ", text)  # list labels
-    text = re.sub(r"[:;]-?[)(]", " ", text)
+def parse(text: str) -> list[str]:
+    """What is still open at the end of a text: a pushdown parse of fences, code, brackets, quotations, emphasis, lists and markup.
+
+    The stack holds what was opened, innermost last; a closing mark closes what it belongs to, and all that was opened inside it.
+    Nothing but its own end closes a fence or a piece of code. A list item stands on the stack from its label to the next
+    label or blank line, with '' once it has content: one left without any breaks off. Marks that close nothing (labels,
+    smileys, inches) and elements that need no end tag are passed over.
+    """
     stack: list[str] = []
-    for k, c in enumerate(text):
-        if c in "([{":
-            stack.append(c)
-        elif c in ")]}":
-            if _PAIR[c] in stack:
-                while stack.pop() != _PAIR[c]:
-                    pass
-        elif c in "“„«":
-            stack.append(c)
-        elif c in "”»" or c == "“" and "„" in stack:
-            while stack and stack[-1] not in "“„«":
+    at = 0
+    for m in _LEX.finditer(text):
+        kind, mark = m.lastgroup, m[0]
+        if stack and stack[-1] == "item" and text[at : m.start()].strip():
+            stack.pop()
+        at = m.end()
+        if stack and stack[-1] == "```":
+            if kind == "fence":
                 stack.pop()
-            if stack:
+            continue
+        if stack and stack[-1] == "`" and kind not in ("tick", "line"):
+            continue
+        if kind == "fence":
+            stack.append("```")
+        elif kind == "tick":
+            stack.pop() if stack and stack[-1] == "`" else stack.append("`")
+        elif kind == "line":
+            if stack and stack[-1] == "`":
+                stack.pop()  # a lone tick is no code
+        elif kind == "strong":
+            _close(stack, "**") or stack.append("**")
+        elif kind == "label":
+            if stack and stack[-1] == "item":
                 stack.pop()
-    if stack:
-        return True
-    plain = re.sub(r'\d\s?"', " ", text)  # inches
-    return plain.count('"') % 2 == 1 or text.count("**") % 2 == 1
+            stack.append("item")
+        elif kind == "tag":
+            name = re.match(r"</?([\w-]+)", mark)[1].lower()
+            if mark.startswith("</"):
+                _close(stack, f"<{name}>")
+            elif not mark.endswith("/>") and name not in OPTIONAL_END:
+                stack.append(f"<{name}>")
+        elif kind == "open":
+            # German quotations end with the mark that opens English ones
+            if mark != "“" or not _close(stack, "„"):
+                stack.append(mark)
+        elif kind == "close":
+            _close(stack, _PAIR[mark]) or mark == "”" and _close(stack, "„")
+        elif kind == "quote":
+            _close(stack, '"') or stack.append('"')
+    if stack and stack[-1] == "item" and (text[at:].strip() or not re.search(r"\S\s+\S", text)):
+        stack.pop()
+    if stack and stack[-1] == "`" and not text[at:].strip():
+        stack.pop()
+    return stack
+
+
+def _close(stack: list[str], mark: str) -> bool:
+    """Pops the innermost `mark` and what was opened inside it; false where none is open."""
+    if mark not in stack:
+        return False
+    while stack.pop() != mark:
+        pass
+    return True
 
 
 def _open_link(text: str) -> bool:
@@ -245,15 +339,16 @@ def _open_link(text: str) -> bool:
 
 
 def shape_of_end(answer: str) -> tuple[str, str]:
-    """(kind, rest) as endings.finished, with 'cut' where the structure alone shows that the text breaks off."""
+    """(kind, rest) as endings.finished, with 'cut' where the structure alone shows that the text breaks off: something is open
+    at its end, or it ends in a mark after which something must follow."""
     kind, rest = endings.finished(answer)
     if kind == "blank":
         return kind, rest
-    if open_structure(answer):
+    if parse(answer):
         return "cut", rest
     if kind in ("open", "dots"):
-        words = _WORD.findall(rest.lower())
-        if _open_link(rest) or re.search(r"(?:[^\W\d_]-|[,;(\[{:&/])$", rest) or (words and words[-1] in UNFINISHED and rest[-1:].isalpha()):
+        last = re.search(r"[^\W\d_]+$", rest)
+        if _open_link(rest) or re.search(r"(?:[^\W\d_]-|[,;:&/])$", rest) or last and last[0].lower() in UNFINISHED:
             return "cut", rest
     return kind, rest
 
@@ -293,11 +388,12 @@ def defects(df: DataFrame, row: str, question: str, answer: str) -> DataFrame:
                 keys.append(k)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(kinds, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["r", "text_hash", "defect", "kind", "keys"])
 
-    one = spread(df.select(F.col(row).alias("r"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a")).dropDuplicates(["r"]), "r")
+    one = distinct_by(df.select(F.col(row).alias("r"), F.col(question).cast("string").alias("q"), F.col(answer).cast("string").alias("a")), "r")
     judged = cut(one.select("r", F.xxhash64("a").alias("text_hash"), "q", "a").mapInArrow(run, schema), "pairs")
     rest = endings.with_rates(judged.filter("defect is null"), one, "a", "r")
-    line, end, head, word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("line_rate", "end_rate", "head_rate", "word_rate"))
+    seen = F.col("word_rate").isNotNull() | F.col("head_rate").isNotNull()
+    line, stop, head, dots, word = (F.coalesce(F.col(c), F.lit(0.0)) for c in ("line_rate", "stop_rate", "head_rate", "dots_rate", "word_rate"))
     whole = ((head >= 0.5) & (word > 0.02)) | ((line >= 0.7) & (F.col("head_rate").isNull() | (head >= 0.2)))
-    cut_off = F.when(F.col("kind") == "dots", end < 0.4).when(F.col("kind") == "open", ~whole).otherwise(False)
+    cut_off = F.when(F.col("kind") == "dots", seen & (stop < 0.4) & (dots < 0.5)).when(F.col("kind") == "open", ~whole).otherwise(False)
     late = rest.filter(cut_off).select("r", F.lit("truncated").alias("defect"))
     return judged.filter("defect is not null").select("r", "defect").unionByName(late).select(F.col("r").alias(row), "defect")
