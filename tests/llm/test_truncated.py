@@ -52,3 +52,14 @@ def test_a_long_last_line_has_the_head_of_its_start(spark):
         assert endings.last_tokens(before + long)[-5:] == endings.tokens(before + long)[-5:]
     df = spark.createDataFrame([(1, "Adjust the gap. " + long, "s")], "id long, text string, source string")
     assert truncated.inspect(df, "id", "text", "source").first()["keys"][3] == endings.keys_of_end("Clean the", h)[3]
+
+
+def test_all_limits_of_a_source_are_kept(spark):
+    # two field limits in one store: one counts characters, the other bytes; all texts differ
+    body = lambda i: "".join(f"Type {i} é{'é' * (i % 7)} needs {j} parts more than unit {i + j} has to spare. " for j in range(14))
+    rows = [(i, "two", body(i)[:253]) for i in range(60)]
+    rows += [(i, "two", body(i).encode()[:422].decode(errors="ignore")) for i in range(60, 120)]
+    rows += [(i, "free", body(i) + "x" * (i - 110) + ".") for i in range(120, 200)]
+    c = truncated.cut_texts(spark.createDataFrame(rows, "id long, source string, text string"), "id", "text", "source")
+    by = {r.source: r.limits for r in truncated.by_source(c, "source").collect()}
+    assert "253 chars" in by["two"] and "422 utf8" in by["two"] and by["free"] is None, by

@@ -153,7 +153,9 @@ def follow_counts(df: DataFrame, text: str, wanted: bytes) -> DataFrame:
             for t in b.column(0).to_pylist():
                 if t:
                     col.append(hashes["\n"])
-                    col += [hashes[x] for x in tokens(t.strip())]
+                    t = t.strip()
+                    # what stands before closing dots is a text's end, and is left out like that of others
+                    col += [hashes[x] for x in tokens(DOTS.sub("", t) if t.endswith(("...", "…", "&hellip;")) else t)]
                     col.append(hashes["\x00"])
                 if len(col) > _SLICE:
                     yield count(col + [hashes["\x00"]] * 5, hashes)

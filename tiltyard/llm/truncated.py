@@ -28,32 +28,33 @@ def measures(t: str) -> list[int]:
     return [n, b, u, n + crlf, b + crlf, n + html, b + html, n + json, b + json, n + json + 5 * other + 6 * astral]
 
 
-def piles(texts: DataFrame, source: str, least: int = 5, over: float = 12.0) -> DataFrame:
+def piles(texts: DataFrame, source: str, least: int = 5, over: float = 12.0, different: int = 3) -> DataFrame:
     """(source, encoding, size): lengths at which the texts of a source pile up, counted under each encoding.
 
-    texts: one row per different text, with its source and a map of measures. All texts count, whatever their ending. A length is
-    a pile where at least `least` texts have it, and `over` times what its 64 neighbours hold on average. Counting is by (source,
-    encoding, length): partial sums, then one row per length.
+    texts: one row per different text, with its source, a map of measures and its number of copies. All texts count, whatever
+    their ending. A length is a pile where at least `least` texts have it, `different` of them not copies of each other, and
+    `over` times what its 64 neighbours hold on average. Counting is by (source, encoding, length): partial sums, then one row
+    per length.
     """
-    h = texts.select(source, F.explode("sizes").alias("encoding", "size")).groupBy(source, "encoding", "size").agg(F.count("*").alias("texts"))
+    h = texts.select(source, "copies", F.explode("sizes").alias("encoding", "size")).groupBy(source, "encoding", "size").agg(F.sum("copies").alias("texts"), F.count("*").alias("different"))
     near = h.withColumn("near", F.expr(f"sum(texts) over (partition by {source}, encoding order by size range between 32 preceding and 32 following)"))
-    return near.filter((F.col("size") > 0) & (F.col("texts") >= least) & (F.col("texts") >= over * (F.col("near") - F.col("texts")) / 64)).select(source, "encoding", "size")
+    return near.filter((F.col("size") > 0) & (F.col("texts") >= least) & (F.col("different") >= different) & (F.col("texts") >= over * (F.col("near") - F.col("texts")) / 64)).select(source, "encoding", "size")
 
 
 def hidden_limits(rated: DataFrame, source: str, least: int = 5, over: float = 12.0, share: float = 0.5) -> DataFrame:
     """(source, encoding, size, texts): the limits of each source, all of them.
 
-    rated: texts with source, text_hash, sizes and whether they break off as their ending shows. A pile of lengths is a limit where
+    rated: texts with source, text_hash, sizes and whether they break off if judged as a text at a limit is. A pile of lengths is a limit where
     at least `share` of its texts break off. A text in several piles (one limit seen under several encodings) counts for the
     pile with most broken texts, of equal ones for the simplest encoding; a limit keeps at least `least` texts of its own.
     """
-    texts = rated.filter(F.col(source).isNotNull()).select(source, "text_hash", "sizes", "broken").dropDuplicates([source, "text_hash"])
+    texts = rated.filter(F.col(source).isNotNull()).groupBy(source, "text_hash").agg(F.first("sizes").alias("sizes"), F.first("broken").alias("broken"), F.count("*").alias("copies"))
     p = piles(texts, source, least, over)
-    at = texts.select(source, "text_hash", "broken", F.explode("sizes").alias("encoding", "size")).join(p, [source, "encoding", "size"])
-    full = at.groupBy(source, "encoding", "size").agg(F.count("*").alias("n"), F.count_if("broken").alias("cut")).filter(F.col("cut") >= share * F.col("n")).drop("n")
+    at = texts.select(source, "text_hash", "broken", "copies", F.explode("sizes").alias("encoding", "size")).join(p, [source, "encoding", "size"])
+    full = at.groupBy(source, "encoding", "size").agg(F.sum("copies").alias("n"), F.sum(F.when(F.col("broken"), F.col("copies"))).alias("cut")).filter(F.col("cut") >= share * F.col("n")).drop("n")
     rank = F.struct(F.col("cut"), F.negative(F.array_position(F.array(*map(F.lit, ENCODINGS)), F.col("encoding"))), F.negative(F.col("size")))
-    own = at.filter("broken").join(full, [source, "encoding", "size"]).groupBy(source, "text_hash").agg(F.max_by(F.struct("encoding", "size"), rank).alias("m"))
-    return own.groupBy(source, F.col("m.encoding").alias("encoding"), F.col("m.size").alias("size")).agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
+    own = at.filter("broken").join(full, [source, "encoding", "size"]).groupBy(source, "text_hash").agg(F.max_by(F.struct("encoding", "size"), rank).alias("m"), F.first("copies").alias("copies"))
+    return own.groupBy(source, F.col("m.encoding").alias("encoding"), F.col("m.size").alias("size")).agg(F.sum("copies").alias("texts")).filter(F.col("texts") >= least)
 
 
 def inspect(df: DataFrame, row: str, text: str, source: str) -> DataFrame:
@@ -101,7 +102,7 @@ def cut_texts(df: DataFrame, row: str, text: str, source: str) -> DataFrame:
         by_kind = F.when(F.col("kind").isin("blank", "stop"), False).when(F.col("kind").isin("marker", "markup"), True)
         return by_kind.when(F.col("kind") == "dots", seen & (stop < 0.4) & (dots < 0.5)).otherwise(~whole_line & ~whole_end)
 
-    rated = cut(rated.withColumn("broken", broken(F.lit(False))).drop("keys"), "rated")
+    rated = cut(rated.withColumn("broken", broken(F.lit(True))).drop("keys"), "rated")
     each = hidden_limits(rated, source).groupBy(F.col(source).alias("_ls"))
     limits = each.agg(F.sort_array(F.collect_list(F.struct("encoding", "size"))).alias("_limits"))  # a handful for each source
     j = rated.join(limits, F.col(source) == F.col("_ls"), "left")
