@@ -1,7 +1,8 @@
 """Mapping free-entered values to a canonical list: distinct values, an n-gram inverted index, weighted cosine, threshold and margin.
 
-Acceptance rests on word likeness, so the entries compared are those whose likeness could by its bound be the best or within the
-margin of it, whatever their cosine.
+The score is a soft weighted cosine over words (see strings.likeness), to which the cosine over character n-grams adds a
+fiftieth. Entries are compared in the order of what they could score at most, by the n-gram index and the bound of the soft
+cosine, until none left could be the best or within the margin of it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -34,19 +36,19 @@ class ListRules:
     initials: bool = False
     typed_keys: bool = True  # keys are words that people type, with errors
     head_names: bool = False
+    ordinals: bool = False  # ordinals (of an anniversary) are light where the list has no such word
     accept: float = 0.8
     margin: float = 0.02
 
 
-#: How names of each kind are commonly decorated and abbreviated.
+#: Company forms and words for a line of business; words for a product variant or its kind; the two-letter names of editions.
 RULES = {
-    "manufacturer": ListRules(
-        frozenset("ltd inc gmbh co intl corp llc company limited international pinb amus mfg entmt the pinball amusements games coin works manufacturing entertainment".split()), accept=0.78
-    ),
+    "manufacturer": ListRules(frozenset("ltd inc gmbh co international corp llc company limited the pinball amusement amusements games coin works manufacturing entertainment".split()), accept=0.78),
     "edition": ListRules(
-        frozenset("edition ed model version rerun re run new in box eu use incl w with day pre production 2nd 25th 30th 40th 50th base the".split()),
-        r"(?:\s*(?:#\s*\d+|/\s*eu|/\s*us|\(\s*2nd run\s*\)|-\s*new in box))+\s*$",
-        (("le", "limited"), ("ce", "collector"), ("collectors", "collector"), ("founder", "founders"), ("de luxe", "deluxe"), ("klassic", "classic"), ("p r o", "pro"), ("standart", "standard")),
+        frozenset("edition ed model version rerun re run new in box eu use inclusive w with day pre production base the".split()),
+        r"(?:\s*(?:#\s*\d+|/\s*eu|/\s*us|\(\s*\d\w\w run\s*\)|-\s*new in box))+\s*$",
+        (("le", "limited"), ("ce", "collector"), ("collectors", "collector"), ("founder", "founders")),
+        ordinals=True,
         accept=0.78,
     ),
     "group": ListRules(frozenset("the and of a pinball machine pin game".split()), r"\s+(?:pinball(?: machine)?|pro|premium|le|ce|limited(?: edition)?)\s*$", initials=True, typed_keys=False, head_names=True, accept=0.81, margin=0.02),
@@ -57,6 +59,14 @@ _HEAD = re.compile(r"^(.+?)(?:\s*:\s+|\s+-\s+)")
 Entry = tuple[str, str, str | None]
 
 
+def _drawn_together(ws: list[str]) -> list[str]:
+    """Words with each run of single letters as one word."""
+    out: list[str] = []
+    for single, run in groupby(ws, key=lambda w: len(w) == 1 and w.isalpha()):
+        out += ["".join(run)] if single else list(run)
+    return out
+
+
 def surface_forms(entries: list[Entry], rules: ListRules) -> dict[tuple[str, ...], dict[str, float]]:
     """The ways in which each entry is written: form -> {key: cost}."""
     forms: dict[tuple[str, ...], dict[str, float]] = defaultdict(dict)
@@ -123,7 +133,11 @@ class Index:
         cut = re.sub(self.rules.decoration, "", value, flags=re.I)
         if cut != value and cut.strip():
             out.append(words(cut))
-        return [w for w in out if w]
+        if self.rules.ordinals:
+            out += [[w for w in ws if w in self.weights or not re.fullmatch(r"\d+(?:st|nd|rd|th)", w)] for ws in list(out)]
+        # letters typed apart are one word
+        out += [_drawn_together(ws) for ws in out if sum(len(w) == 1 for w in ws) > 1]
+        return [w for k, w in enumerate(out) if w and w not in out[:k]]
 
     def candidates(self, value: str, hint: str | None = None) -> list[tuple[str, str, float, bool]]:
         """(kind, key, score, made by hint) of the entries that could be meant: 'exact' the key itself, 'name' the best by name and
@@ -161,7 +175,7 @@ class Index:
 def decide(value: str, found: list[tuple[str, str, float, bool]], rules: ListRules) -> tuple[str, float]:
     """(key, score) of the entry meant among the candidates of all blocks of a list, or unmatched with the best score.
 
-    Score of an entry: weighted likeness of the words of its nearest form, at most 0.02 of it from the n-gram cosine. The
+    Score of an entry: the soft weighted cosine of its nearest form, a fiftieth of it from the n-gram cosine. The
     entry is taken where its score is accepted and stands out from the next by the margin; entries that can't be told
     apart by name are told apart by hint (the manufacturer), else left unmatched.
     """

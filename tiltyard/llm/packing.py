@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tiltyard.session import cut, spread
 
-PER_WORKER = 100_000  # texts of one packing task, of which it holds ids and sizes
+PER_WORKER = 20_000  # texts of one packing worker, about, of which it holds ids and sizes
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -119,7 +119,8 @@ def pack(df: DataFrame, row: str, text: str, capacity: int = 2048, classes: int
     schema = f"`{row}` {row_type}, part int, size long, worker int, container string"
     full = parts.filter(F.col("size") == capacity).select(row, "part", "size", F.lit(-1).alias("worker"), F.concat_ws("-", F.lit("f"), F.col(row).cast("string"), F.col("part").cast("string"), F.monotonically_increasing_id().cast("string")).alias("container"))
     todo = parts.filter(F.col("size") < capacity)
-    workers = max(todo.sparkSession.sparkContext.defaultParallelism, -(-sized.count() // PER_WORKER))
+    # the workers follow the number of texts alone: the same table is packed the same way on any cluster
+    workers = max(1, -(-sized.count() // PER_WORKER))
     todo = todo.select(row, "part", "size", F.pmod(F.xxhash64(row, "part"), F.lit(workers)).cast("int").alias("worker"))
 
     def packer(step: int, last: bool):  # noqa: ANN202
@@ -137,7 +138,8 @@ def pack(df: DataFrame, row: str, text: str, capacity: int = 2048, classes: int
     out, step = full, 0
     while True:
         last = workers <= 1
-        packed = todo.groupBy("worker").applyInPandas(packer(step, last), schema)
+        # a partition of its own for each worker, which AQE would draw together
+        packed = todo.repartition(workers, "worker").groupBy("worker").applyInPandas(packer(step, last), schema)
         packed = packed if last else cut(packed, "packed")
         out = out.unionByName(packed.filter("container is not null"))
         if last:

@@ -75,7 +75,7 @@ def word_likeness(v: str, w: str) -> float:
         return 0.93
     if len(v) >= 3 and w.startswith(v) and len(v) >= 0.3 * len(w):
         return 0.9 if len(v) >= len(w) - 2 or len(v) <= 5 else 0.85
-    if 2 < len(v) <= 4 and v[0] == w[0] and len(w) >= 5 and not re.search("[aeiou]", v) and _subsequence(v, w):
+    if 2 < len(v) <= 5 and v[0] == w[0] and len(w) >= 5 and not re.search("[aeiou]", v[1:]) and _subsequence(v, w):
         return 0.85
     n = max(len(v), len(w))
     most = 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 7 else 3
@@ -84,27 +84,44 @@ def word_likeness(v: str, w: str) -> float:
 
 
 class Weights(dict):
-    """Inverse document frequencies of words over the names of a list; unknown words weigh as much as the rarest."""
+    """Inverse document frequencies of words over the names of a list; unknown words weigh as much as the rarest, light words and
+    what abbreviates them next to nothing."""
 
     def __init__(self, names: list[list[str]], light: frozenset[str] = frozenset()):
         df = Counter(w for n in names for w in set(n))
         self.light, top = light, math.log(1 + len(names))
         super().__init__({w: math.log(1 + len(names) / c) for w, c in df.items()})
         self.top = top
+        self._short: dict[str, bool] = {}
 
     def __missing__(self, w: str) -> float:
         return self.top
 
     def of(self, w: str) -> float:
-        return 0.15 if w.rstrip(".") in self.light else self[w]
+        bare = w.rstrip(".")
+        if bare in self.light:
+            return 0.15
+        if bare in self or w in self:
+            return self[w] if w in self else self[bare]
+        got = self._short.get(w)
+        if got is None:
+            if len(self._short) > 100_000:
+                self._short.clear()
+            got = self._short[w] = len(bare) > 2 and any(word_likeness(w, x) >= 0.85 for x in self.light if len(x) > len(bare))
+        return 0.15 if got else self.top
 
 
 def likeness(value: list[str], form: list[str], weights: Weights) -> float:
-    """Weighted share of words that two names have in common, words matched one to one, best first. 1: the same name."""
+    """Soft weighted cosine of two names. 1: the same name.
+
+    Names are vectors over words with the square roots of the words' weights as components, so that a name's squared length is
+    the sum of its weights. A typed word counts for the word of the list that it stands for, by its likeness to it; words are
+    taken for each other one to one, best first. Where words were split or joined, the letters of both are compared as one word.
+    """
     if not value or not form:
         return 0.0
     pairs = sorted(((word_likeness(v, w), -abs(i - j), i, j) for i, v in enumerate(value) for j, w in enumerate(form)), reverse=True)
-    left, right, got = set(range(len(value))), set(range(len(form))), 0.0
+    left, right, dot = set(range(len(value))), set(range(len(form))), 0.0
     total_f = sum(weights.of(w) for w in form)
     used_v = dict.fromkeys(range(len(value)), 0.0)
     for s, _, i, j in pairs:
@@ -113,7 +130,7 @@ def likeness(value: list[str], form: list[str], weights: Weights) -> float:
         if i in left and j in right:
             left.discard(i)
             right.discard(j)
-            got += s * weights.of(form[j])
+            dot += s * weights.of(form[j])
             used_v[i] = weights.of(form[j])
     total_v = sum(used_v[i] or weights.of(v) for i, v in enumerate(value))
     # words split or joined by mistake
@@ -123,7 +140,7 @@ def likeness(value: list[str], form: list[str], weights: Weights) -> float:
         n = max(len(a), len(b))
         d = osa(a, b, n // 6) if n >= 5 else n
         whole = 1 - d / n - 0.03 if d <= n // 6 and (d == 0 or not _digits(value) ^ _digits(form)) else 0.0
-    return max(2 * got / (total_v + total_f), whole)
+    return max(dot / math.sqrt(total_v * total_f) if total_v and total_f else 0.0, whole)
 
 
 def _digits(ws: list[str]) -> set[str]:
@@ -172,7 +189,7 @@ class Bounds:
         self.bags = np.array([_bag(w) for w in self.vocab], np.int32).reshape(-1, 32)
         self.lengths = np.array([len(w) for w in self.vocab], np.int64)
         self.roman = np.array([bool(_ROMAN.match(w)) for w in self.vocab], bool)
-        self.total = np.array([sum(weights.of(w) for w in f) for f in forms])
+        self.total = np.array([max(1e-9, sum(weights.of(w) for w in f)) for f in forms])
         whole = ["".join(f) for f in forms]
         self.whole = np.array([_bag(x) for x in whole], np.int32).reshape(-1, 32)
         self.whole_n = np.array([len(x) for x in whole], np.int64)
@@ -216,7 +233,7 @@ class Bounds:
         if best:
             at = np.concatenate([self.holders[k] for k in best])
             got = np.bincount(at, np.repeat([s * self.weight[k] for k, s in best.items()], [len(self.holders[k]) for k in best]), self.size)
-            out = 2 * got / (got + np.maximum(alone, 0.0) + self.total)
+            out = np.divide(got, np.sqrt((got + np.maximum(alone, 0.0)) * self.total), out=np.zeros(self.size), where=got > 0)
         a = "".join(w.rstrip(".") for w in value)
         n = np.maximum(self.whole_n, len(a))
         ids = np.flatnonzero((n >= 5) & (np.abs(self.whole_n - len(a)) <= n // 6))
