@@ -64,3 +64,17 @@ def test_patterns_fit_lines_with_any_name(spark):
     assert store.fits("solar rodeo - service notes") and store.fits("quillon solar rodeo rev #") and store.fits("manual of solar rodeo") and store.fits("solar x1199 quillon") and store.fits("solar x1199 quillon")
     assert not store.fits("solar rodeo - service note") and not store.fits("a manual of solar rodeo") and not store.fits("solar y quillon")
     assert "manual of <t>" in store and "manual" not in store and store.word("wlre") == (None, "wire") and store.total() == 3
+
+
+def test_one_lattice_over_all_lines():
+    m = scanned.Model({"driver": 50, "board": 50, "the": 90, "switch": 40, "check": 9, "connector": 30}, {"drlver": "driver"}, frozenset({"<t> service notes"}), total=400)
+    kinds, text = scanned.repair("Check the con-\nMars Service Notes\n7\nnector", "Mars", None, 7, 7, m)
+    # a word may go on behind the running line and the page number
+    assert (kinds, text) == (["header", "hyphen", "page_number"], "Check the connector")
+    kinds, text = scanned.repair("Check the drl-\nver board", "Mars", None, 7, 7, m)
+    assert (kinds, text) == (["chars", "hyphen"], "Check the driver board")
+    assert scanned.repair("Check the swi\ntch", None, None, None, None, m) == ([], "Check the switch")
+    # a run of any number of unknown words is one stretch of the lattice
+    odd = " ".join(f"zq{i}x" for i in range(40))
+    assert scanned.repair(f"{odd} drlver {odd}", None, None, None, None, m) == (["chars"], f"{odd} driver {odd}")
+    assert scanned.repair("con-", None, None, None, None, m) == ([], "con-") and scanned.repair("", None, None, None, None, m) == ([], "")

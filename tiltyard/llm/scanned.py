@@ -1,9 +1,10 @@
 """Noise in text from scanned pages: page numbers, running headers, hyphens at line ends, misrecognised characters.
 
 The corpus gives the model: word counts, corrections (rare forms that differ from a frequent word only by confusable
-characters) and running lines (line patterns that always end the same way and name the title or maker of their document).
-Each chunk is then freed of running lines and page numbers and decoded: a best path over its character stream in which words
-may be kept, corrected, joined over a hyphen, split or merged. Paragraph boundaries are placed by dynamic programming.
+characters) and running lines (line patterns that most lines with their beginning follow and that name the title of their
+document). Each chunk is decoded as one stream of tokens without its lines: the best path through a lattice whose edges keep,
+correct, split or merge words, join what a hyphen parted over a line end, or skip a whole running line or page number.
+Paragraph boundaries are placed by dynamic programming.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.session import cut, spread
+from tiltyard.session import cut, distinct_by, spread
 
 #: Characters that recognition confuses, each group with one representative.
 SEVERAL = (("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("li", "h"))
@@ -82,7 +83,7 @@ def word_counts(df: DataFrame, text: str) -> DataFrame:
             if len(known) > 1_000_000:
                 known.clear()
             w = core(tok)[1].lower()
-            ok = w and len(w) <= 40 and _LETTERS.search(w)
+            ok = w and _LETTERS.search(w)
             known[tok] = out = ([w, *(p for p in w.split("-") if p)] if "-" in w else [w]) if ok else []
             return out
 
@@ -158,9 +159,15 @@ def line_pattern(line: str, title: str | None, maker: str | None, fix: dict[str,
     return re.sub(r"\d+", "#", s)
 
 
+_CLOSED = tuple(".,;:!?")  # what running lines don't end with
+
+
 def running_lines(df: DataFrame, text: str, doc: str, title: str, maker: str, least: int = 3, purity: float = 0.5) -> DataFrame:
-    """(pattern) of running lines: short lines that name the title or maker of their document, seen in several documents, and
-    ending where most lines that begin like them end, which wrapped prose doesn't."""
+    """(pattern, docs) of running lines: lines that name the title of their document, begin with no small letter, are seen in
+    several documents, and end where most lines that begin like them end, which wrapped prose doesn't.
+
+    A line's beginning is its first two words, with the title as one word, or its first three.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -171,30 +178,34 @@ def running_lines(df: DataFrame, text: str, doc: str, title: str, maker: str, le
                 name, key = " ".join((ti or "").split()).lower(), (mk or "").lower()
                 for x in (t or "").split("\n"):
                     x = x.strip()
-                    if not 3 < len(x) <= 90:
+                    if len(x) <= 3:
                         continue
                     low = x.lower()
                     if name and name in low or key and key[:4] in low:
                         p = line_pattern(x, ti, mk)
-                        here.add(p)
-                        first.add(" ".join(p.split(" ")[:2]))
+                        if "<t>" in p and p != "<t>" and not x[0].islower() and not p.endswith(_CLOSED):
+                            here.add(p)
+                        first.update(_heads(p))
                     else:
-                        first.add(_DIGIT_RUN.sub("#", " ".join(low.split(None, 2)[:2])))
-                n.update((p, d) for p in here if "<t>" in p or "<m>" in p)
+                        first.update(_heads(_DIGIT_RUN.sub("#", " ".join(low.split(None, 3)[:3]))))
+                n.update((p, d) for p in here)
                 heads.update(first)
-            rows = [(p, " ".join(p.split(" ")[:2]), d, c) for (p, d), c in n.items()] + [(None, h, None, c) for h, c in heads.items()]
+            rows = [(p, None, d, c) for (p, d), c in n.items()] + [(None, h, None, c) for h, c in heads.items()]
             yield pd.DataFrame(rows, columns=["pattern", "head", "doc", "n"])
 
     lines = df.select(F.col(text).cast("string").alias("t"), F.coalesce(F.col(doc).cast("string"), F.lit("")).alias("d"), F.col(title).alias("ti"), F.col(maker).alias("mk"))
     p = cut(lines.mapInPandas(run, "pattern string, head string, doc string, n long"), "lines")
-    docs = p.filter("pattern is not null").groupBy("pattern", "head").agg(F.count("*").alias("docs"), F.sum("n").alias("chunks"))
+    docs = p.filter("pattern is not null").groupBy("pattern", "doc").agg(F.sum("n").alias("n")).groupBy("pattern").agg(F.count("*").alias("docs"), F.sum("n").alias("chunks")).filter(F.col("docs") >= least)
     heads = p.filter("pattern is null").groupBy("head").agg(F.sum("n").alias("all"))
-    named = docs.filter(F.col("pattern").contains("<t>") & ~F.col("pattern").rlike(r"[.,;:!?]$"))
-    named = named.filter((F.col("docs") >= least) & ~F.col("pattern").isin("<t>", "<m>"))
-    # a pattern that begins with the title shares its head with prose: it needs a word or mark that running lines have
-    return named.join(heads, "head").filter(F.col("chunks") >= purity * F.col("all")).select("pattern", "docs").unionByName(
-        named.filter(F.col("pattern").rlike(r"^(?:<t>|<m>) (?:[-–|:] |rev\.|operations|manual|service)")).select("pattern", "docs")
-    ).groupBy("pattern").agg(F.max("docs").alias("docs"))
+    ws = F.split("pattern", " ")
+    begun = docs.withColumn("head", F.explode(F.array(*(F.concat(F.lit(f"{k} "), F.array_join(F.slice(ws, 1, k), " ")) for k in (2, 3)))))
+    return begun.join(heads, "head").filter(F.col("chunks") >= purity * F.col("all")).groupBy("pattern").agg(F.max("docs").alias("docs"))
+
+
+def _heads(line: str) -> tuple[str, ...]:
+    """The beginnings of a line of two and of three words."""
+    ws = line.split(" ", 3)
+    return tuple(f"{k} " + " ".join(ws[:k]) for k in (2, 3))
 
 
 def _shapes(patterns: Iterable[str]) -> re.Pattern:
@@ -327,6 +338,8 @@ class Model:
         """The line is a running one of the corpus: with the chunk's own title and maker, or, where it has none, with any name."""
         if _RIGHTS.match(line):
             return True
+        if line.endswith(_CLOSED):
+            return False
         name = " ".join((title or "").split()).lower()
         low = " ".join(line.split()).lower()
         repairable = any(core(w)[1] in self.fix for w in low.split(" "))
@@ -339,6 +352,14 @@ class Model:
             return False
         return self.fits(line_pattern(line, title, maker, self.fix))
 
+    def skip_cost(self, line: str, before: str, title: str | None, maker: str | None, start: int | None, end: int | None) -> tuple[float, str] | None:
+        """(cost, noise) of skipping a line, if it may be skipped: less than reading any word costs."""
+        if is_page_number(line, before, start, end):
+            return 1.0, "page_number"
+        if len(line) > 3 and self.is_running(line, title, maker):
+            return 1.0, "header"
+        return None
+
     def is_plain(self, token: str) -> bool:
         """A token that decoding would keep as it is: a word of the corpus, or no word at all."""
         got = self.plain.get(token)
@@ -390,44 +411,126 @@ def _own_hyphen(a: str, b: str, mark: str, m: Model) -> bool:
     return ("-" in la or "-" in lb or m.counts.get(fa, 0) > 2) and m.counts.get(fb.split("-")[0], 0) > 2
 
 
-def decode(tokens: list[str], m: Model) -> tuple[list[str], bool]:
-    """Best path over a run of tokens: each may be kept, corrected, split in two or merged with the next. (words, corrected?)"""
-    n = len(tokens)
-    best: list[tuple[float, int, list[str], bool]] = [(0.0, 0, [], False)] + [(math.inf, 0, [], False)] * n
-    for i in range(n):
-        c0 = best[i][0]
-        if c0 == math.inf:
+def _edges(tok: str, follow: str | None, m: Model) -> list[tuple[int, float, list[str], tuple[str, ...]]]:
+    """(tokens read, cost, words, noise) of the ways to read a token: kept, corrected, split in two, or merged with the next."""
+    a, w, z = core(tok)
+    l = w.lower()  # noqa: E741
+    out = [(1, m.cost(l), [tok], ())]
+    parts = [m.fix.get(p, p) for p in l.split("-")] if "-" in l else None
+    good = m.fix.get(l) or ("-".join(parts) if parts and "-".join(parts) != l else None)
+    if good:
+        out.append((1, min(m.cost(good), 12.0) + 1.0, [a + _recase(w, good) + z], ("chars",)))
+    if not m.counts.get(l) and len(l) > 5 and not z and l.isalpha():
+        for k in range(2, len(l) - 1):
+            if m.counts.get(l[:k], 0) > 3 and m.counts.get(l[k:], 0) > 3:
+                out.append((1, m.cost(l[:k]) + m.cost(l[k:]) + 6.0, [a + w[:k], w[k:]], ()))
+    if follow is not None and not z:
+        a2, w2, z2 = core(follow)
+        j = (w + w2).lower()
+        if not a2 and m.counts.get(j, 0) > 3 and not (m.counts.get(l, 0) > 3 and m.counts.get(w2.lower(), 0) > 3):
+            out.append((2, m.cost(j) + 4.0, [a + w + w2 + z2], ()))
+    return out
+
+
+class Stream:
+    """The tokens of a chunk in one row, with the line of each, and the lines that may be skipped."""
+
+    def __init__(self, lines: list[str], skips: dict[int, tuple[float, str]]):
+        self.tokens: list[str] = []
+        self.line: list[int] = []
+        self.skip: dict[int, tuple[int, float, str]] = {}  # first token of a line -> (token after it, cost, noise)
+        for i, x in enumerate(lines):
+            ts = x.split()
+            if i in skips and ts:
+                self.skip[len(self.tokens)] = (len(self.tokens) + len(ts), *skips[i])
+            self.tokens += ts
+            self.line += [i] * len(ts)
+
+    def hyphen(self, i: int, m: Model) -> tuple[int, str, tuple[str, ...], float] | None:
+        """(next position, word, noise, cost of skipped lines): the word that token i, which ends a line in a hyphen, begins.
+
+        Lines that may be skipped stand between the parts at times; the rest may itself end its line in a hyphen.
+        """
+        ts, tok, at, noise, cost = self.tokens, self.tokens[i], i + 1, set(), 0.0
+        while at < len(ts) and self.line[at] != self.line[at - 1] and len(tok) > 1 and tok[-1] in HYPHENS and tok[-2].isalnum():
+            to = at
+            while to in self.skip:
+                noise.add(self.skip[to][2])
+                cost += self.skip[to][1]
+                to = self.skip[to][0]
+            if to >= len(ts) or not ts[to][:1].isalnum():
+                break
+            if _own_hyphen(tok[:-1], ts[to], tok[-1], m):
+                tok = tok[:-1] + "-" + ts[to]
+            else:
+                tok = tok[:-1] + ts[to]
+                noise.add("hyphen")
+            at = to + 1
+        return None if at == i + 1 else (at, tok, tuple(sorted(noise)), cost)
+
+
+def best_path(s: Stream, m: Model) -> tuple[list[tuple[int, str]], set[str]]:
+    """((line, word), noise) of the best path through the lattice over the whole stream.
+
+    A plain token has one edge, and where no edge passes over it all paths meet: there the path is settled, so that a chunk
+    without noise costs one look at each token.
+    """
+    out: list[tuple[int, str]] = []
+    found: set[str] = set()
+    n, i, ts = len(s.tokens), 0, s.tokens
+    joined: dict[int, tuple[int, str, tuple[str, ...], float] | None] = {}
+
+    def broken(k: int) -> bool:
+        if ts[k][-1] not in HYPHENS or k + 1 >= n or s.line[k] == s.line[k + 1]:
+            return False
+        if k not in joined:
+            joined[k] = s.hyphen(k, m)
+        return joined[k] is not None
+
+    while i < n:
+        if i not in s.skip and m.is_plain(ts[i]) and not broken(i):
+            out.append((s.line[i], ts[i]))
+            i += 1
             continue
+        best: dict[int, tuple[float, int, list[tuple[int, str]], tuple[str, ...]]] = {i: (0.0, i, [], ())}
+        k = far = i
+        while k < n and (k <= far and not (k == far and k > i and k not in s.skip and m.is_plain(ts[k]) and not broken(k))):
+            if k not in best:
+                k += 1
+                continue
+            c0 = best[k][0]
+            ways: list[tuple[int, float, list[str], tuple[str, ...]]] = []
+            if k in s.skip:
+                to, cost, noise = s.skip[k]
+                ways.append((to, cost, [], (noise,)))
+            if broken(k):
+                to, word, noise, cost = joined[k]
+                # what was joined is read like a token of its own
+                ways += [(to, cost + c, ws, (*noise, *x)) for _, c, ws, x in _edges(word, None, m)]
+            else:
+                # words are merged over a line end too, where it dropped the hyphen
+                ways += [(k + step, c, ws, x) for step, c, ws, x in _edges(ts[k], ts[k + 1] if k + 1 < n else None, m)]
+            for to, cost, ws, noise in ways:
+                far = max(far, to)
+                if to not in best or c0 + cost < best[to][0]:
+                    best[to] = (c0 + cost, k, [(s.line[k], w) for w in ws], noise)
+            k += 1
+        k = far
+        steps = []
+        while k > i:
+            steps.append(best[k])
+            k = best[k][1]
+        for _, _, ws, noise in reversed(steps):
+            out += ws
+            found.update(noise)
+        i = far
+    return out, found
 
-        def relax(j: int, cost: float, out: list[str], fixed: bool, i: int = i, c0: float = c0) -> None:
-            if c0 + cost < best[j][0]:
-                best[j] = (c0 + cost, i, out, fixed)
-
-        a, w, z = core(tokens[i])
-        l = w.lower()  # noqa: E741
-        relax(i + 1, m.cost(l), [tokens[i]], False)
-        parts = [m.fix.get(p, p) for p in l.split("-")] if "-" in l else None
-        good = m.fix.get(l) or ("-".join(parts) if parts and "-".join(parts) != l else None)
-        if good:
-            relax(i + 1, min(m.cost(good), 12.0) + 1.0, [a + _recase(w, good) + z], True)
-        if not m.counts.get(l) and len(l) > 5 and not z and l.isalpha():
-            for k in range(2, len(l) - 1):
-                if m.counts.get(l[:k], 0) > 3 and m.counts.get(l[k:], 0) > 3:
-                    relax(i + 1, m.cost(l[:k]) + m.cost(l[k:]) + 6.0, [a + w[:k], w[k:]], False)
-        if i + 1 < n and not z:
-            a2, w2, z2 = core(tokens[i + 1])
-            j = (w + w2).lower()
-            if not a2 and m.counts.get(j, 0) > 3 and not (m.counts.get(l, 0) > 3 and m.counts.get(w2.lower(), 0) > 3):
-                relax(i + 2, m.cost(j) + 4.0, [a + w + w2 + z2], False)
-    out, fixed, i = [], False, n
-    steps = []
-    while i > 0:
-        steps.append(best[i])
-        i = best[i][1]
-    for _, _, o, f in reversed(steps):
-        out += o
-        fixed |= f
-    return out, fixed
+
+def decode(tokens: list[str], m: Model) -> tuple[list[str], bool]:
+    """(words, corrected?) of the best path over tokens of one line."""
+    words, noise = best_path(Stream([" ".join(tokens)], {}), m)
+    return [w for _, w in words], "chars" in noise
 
 
 def _recase(old: str, new: str) -> str:
@@ -472,61 +575,23 @@ def _paragraphs(lines: list[str]) -> list[list[str]]:
 
 def repair(content: str | None, title: str | None, maker: str | None, start: int | None, end: int | None, m: Model) -> tuple[list[str], str]:
     """(kinds of noise found, repaired text) of one chunk. Null and blank texts hold no noise."""
-    found: set[str] = set()
-    kept: list[str] = []
+    lines = [x.strip() for x in (content or "").split("\n")]
+    skips: dict[int, tuple[float, str]] = {}
     before = ""
-    for line in (content or "").split("\n"):
-        s = line.strip()
-        if s and is_page_number(s, before, start, end):
-            found.add("page_number")
-            continue
-        if 3 < len(s) <= 90 and m.is_running(s, title, maker):
-            found.add("header")
-            continue
-        kept.append(s)
-        if s:
-            before = s
-    # words broken over a line end: the rest stands at the next line, blank lines left by removed ones between
-    tokens_of = [x.split() for x in kept]
-    i = 0
-    while i < len(kept):
-        ts = tokens_of[i]
-        if ts and len(ts[-1]) > 1 and ts[-1][-1] in HYPHENS and ts[-1][-2].isalnum():
-            j = i + 1
-            while j < len(kept) and not tokens_of[j]:
-                j += 1
-            if j < len(kept) and tokens_of[j][0][:1].isalnum():
-                a, mark, b = ts[-1][:-1], ts[-1][-1], tokens_of[j][0]
-                if _own_hyphen(a, b, mark, m):
-                    ts[-1] = a + "-" + b
-                else:
-                    found.add("hyphen")
-                    ts[-1] = a + b
-                tokens_of[j] = tokens_of[j][1:]
-                if not tokens_of[j]:
-                    del tokens_of[j], kept[j]
-                if j > i + 1:
-                    del tokens_of[i + 1 : j], kept[i + 1 : j]
-                continue
-        i += 1
-    lines = []
-    for ts in tokens_of:
-        out, k = [], 0
-        while k < len(ts):
-            if m.is_plain(ts[k]):
-                out.append(ts[k])
-                k += 1
-                continue
-            stop = k + 1
-            while stop < len(ts) and stop < k + 6 and core(ts[stop])[1].lower() not in m.counts:
-                stop += 1
-            words, fixed = decode(ts[k:stop], m)
-            if fixed:
-                found.add("chars")
-            out += words
-            k = stop
-        lines.append(" ".join(out))
-    return sorted(found), "\n\n".join(" ".join(p) for p in _paragraphs(lines))
+    for i, x in enumerate(lines):
+        if x:
+            cost = m.skip_cost(x, before, title, maker, start, end)
+            if cost is not None:
+                skips[i] = cost
+            else:
+                before = x
+    words, found = best_path(Stream(lines, skips), m)
+    by: dict[int, list[str]] = {}
+    for i, w in words:
+        by.setdefault(i, []).append(w)
+    # lines that were skipped or drawn to the one before are gone; blank ones part paragraphs, but not within a word
+    kept = [" ".join(by[i]) if i in by else "" for i, x in enumerate(lines) if i in by or not x]
+    return sorted(found), "\n\n".join(" ".join(p) for p in _paragraphs(kept))
 
 
 def fit(chunks: DataFrame) -> Model:
@@ -544,7 +609,7 @@ def repaired(chunks: DataFrame, model: Model | None = None) -> DataFrame:
     """(chunk_id, noise array<string>, text) per chunk. Rows stored twice give one row; extra columns are not read."""
     m = model or fit(chunks)
     cols = ["chunk_id", "content", "machine_title", "manufacturer", "page_start", "page_end"]
-    one = spread(chunks.select(*cols).dropDuplicates(["chunk_id"]), "chunk_id")
+    one = distinct_by(chunks.select(*cols), "chunk_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         num = lambda x: None if x is None or x != x else int(x)
