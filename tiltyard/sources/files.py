@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiltyard.functions import text as X
+from tiltyard.session import committed
+
 CATALOG_ENTRY = """opdbId string, isMachine boolean, isAlias boolean, name string, commonName string, manufacturer struct<manufacturerId:int,name:string,fullName:string>, manufactureDate string,
     type string, designers array<struct<personId:int,name:string>>, keywords array<string>, features array<string>, updatedAt string, ipdbId int"""
 CATALOG = f"machineGroups array<struct<opdbId:string,name:string>>, machines array<struct<{CATALOG_ENTRY.replace(' string', ':string').replace(' boolean', ':boolean').replace(' int', ':int').replace(' struct', ':struct').replace(' array', ':array')}>>, aliases array<struct<{CATALOG_ENTRY.replace(' string', ':string').replace(' boolean', ':boolean').replace(' int', ':int').replace(' struct', ':struct').replace(' array', ':array')}>>"
@@ -79,12 +85,32 @@ def sitemap(df: DataFrame, xml: str, contains: str = "") -> DataFrame:
     return out.filter((F.col("loc") != "") & F.col("loc").contains(contains))
 
 
+def with_handles(entries: DataFrame, handles: DataFrame) -> DataFrame:
+    """Entries whose last path segment is one of the handles (first column, compared without regard to case)."""
+    h = handles.select(F.lower(F.col(handles.columns[0])).alias("_h")).filter("_h is not null").distinct()
+    last = F.lower(F.regexp_extract("loc", r"([^/?#]+)/?(?:[?#].*)?$", 1))
+    return entries.withColumn("_h", last).join(h, "_h", "left_semi").drop("_h")
+
+
 def newest(entries: DataFrame, since: Column, n: int) -> DataFrame:
     """Entries modified at or after a time, newest first, n of them."""
     return entries.filter(F.col("lastmod") >= since).orderBy(F.desc("lastmod"), "loc").limit(n)
 
 
+def wordpress_category(df: DataFrame, json: str, slug: str) -> DataFrame:
+    """(id) of the category of a slug in a response of categories; no row where there is none."""
+    c = df.select(F.inline(F.from_json(json, "array<struct<id:int,slug:string>>")))
+    return c.filter((F.lower("slug") == slug.lower()) & F.col("id").isNotNull()).select("id").distinct()
+
+
+def further_pages(total: Column) -> Column:
+    """The pages still to fetch after the first, by the header with their number; none where it is missing or no number."""
+    n = F.coalesce(F.trim(total).try_cast("int"), F.lit(1))
+    return F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+
+
 def wordpress_pages(df: DataFrame, json: str) -> DataFrame:
+    """(id, slug, link) of responses of pages or posts; entries without a link are skipped."""
     return df.select(F.inline(F.from_json(json, "array<struct<id:int,slug:string,link:string>>"))).filter("link is not null")
 
 
@@ -94,6 +120,19 @@ def shop_products(df: DataFrame, json: str) -> DataFrame:
     return p.select("handle", "title", "vendor", F.array_min(F.transform("variants", lambda v: v["price"].try_cast("double"))).alias("price"), F.exists("variants", lambda v: F.coalesce(v["available"], F.lit(False))).alias("available"))
 
 
+def store_products(df: DataFrame, json: str) -> DataFrame:
+    """Products of a store interface: slug from the last segment of the address, price in units of its currency (null where it is
+    not positive), text of the description without markup; products without an address are skipped."""
+    schema = "array<struct<name:string,permalink:string,is_in_stock:boolean,short_description:string,description:string,prices:struct<price:string,currency_minor_unit:int>,images:array<struct<src:string>>>>"
+    p = df.select(F.inline(F.from_json(json, schema))).filter("permalink is not null")
+    raw = F.col("prices.price").try_cast("double")
+    slug = F.regexp_extract("permalink", r"([^/]+)/*$", 1)
+    text = X.strip_html(F.coalesce("short_description", "description"))
+    images = F.filter(F.transform("images", lambda i: F.trim(i["src"])), lambda x: x != "")
+    price = F.when(raw > 0, F.round(raw / F.pow(F.lit(10.0), F.coalesce("prices.currency_minor_unit", F.lit(0))), 2))
+    return p.select(slug.alias("slug"), F.col("name").alias("title"), "permalink", price.alias("price"), F.coalesce("is_in_stock", F.lit(False)).alias("available"), text.alias("description"), images.alias("images"))
+
+
 def lighthouse(df: DataFrame, json: str) -> DataFrame:
     """Scores of a page report, out of 100."""
     score = lambda c: F.round(F.get_json_object(json, f"$.categories.{c}.score").cast("double") * 100, 2)
@@ -115,6 +154,39 @@ def extraction_status(text: Column, encrypted: Column, size: Column, cap: int =
     return F.when(size > cap, "SizeExceeded").when(encrypted, "Encrypted").when(text.isNull(), "Malformed").when(F.length(F.trim(text)) < least, "OcrRequired").otherwise("Success")
 
 
+def with_fallback(status: Column, text: Column, other_status: Column, other_text: Column) -> Column:
+    """struct(status, text, by): the first extraction, or the second where the first says that it needs OCR."""
+    need = F.coalesce(status == "OcrRequired", F.lit(False))
+    return F.struct(F.when(need, other_status).otherwise(status).alias("status"), F.when(need, other_text).otherwise(text).alias("text"), F.when(need, "fallback").otherwise("primary").alias("by"))
+
+
+def page_texts(pages: Column) -> Column:
+    """array<struct<page_number,text>> of the texts of pages in order."""
+    return F.transform(pages, lambda t, i: F.struct((i + 1).alias("page_number"), F.coalesce(t, F.lit("")).alias("text")))
+
+
+def flat_outline(outline: Column) -> Column:
+    """An outline of two levels, array<struct<title,page,items:array<struct<title,page>>>>, as array<struct<title,page_number,level>>, in
+    order; entries without a title are skipped."""
+    one = lambda x, n: F.struct(F.trim(x["title"]).alias("title"), x["page"].alias("page_number"), F.lit(n).alias("level"))
+    flat = F.flatten(F.transform(outline, lambda o: F.concat(F.array(one(o, 0)), F.transform(F.coalesce(o["items"], F.array().cast("array<struct<title:string,page:int>>")), lambda i: one(i, 1)))))
+    return F.filter(flat, lambda x: F.coalesce(x["title"], F.lit("")) != "")
+
+
+def cached(spark: SparkSession, path: str, seconds: float, load: Callable[[], DataFrame], now: float | None = None) -> tuple[DataFrame, bool]:
+    """(table, taken from the cache): the last complete copy under path where it is younger than `seconds`, else a new one made by load.
+
+    Copies are named by the time they were made; a copy that was not written to the end does not count.
+    """
+    t = time.time() if now is None else now
+    done = committed(spark, path)
+    if done and t - done[-1] / 1000 < seconds:
+        return spark.read.parquet(f"{path}/v={done[-1]}"), True
+    at = f"{path}/v={int(t * 1000)}"
+    load().write.mode("overwrite").parquet(at)
+    return spark.read.parquet(at), False
+
+
 def robots_rules(df: DataFrame, host: str, body: str) -> DataFrame:
     """(host, agent, allow, pattern) of robots.txt bodies; a group of agent lines shares the rules below it."""
     lines = df.select(host, F.posexplode(F.split(body, r"\r?\n")).alias("pos", "l"))
