@@ -97,11 +97,3 @@ def test_ingest_outcomes(spark):
     s = spark.createDataFrame([("a", "h", 0), ("b", "h", 1), ("c", "x", 3)], "id string, last_hash string, attempts int")
     got = {r.id: r.outcome for r in feed.ingest_outcomes(b, s, "id", "hash", "kind", ["Manual"]).collect()}
     assert got == {"a": "hash_unchanged", "b": "process", "c": "over_budget", "d": "type_filtered", None: "empty_id", "e": "process"}
-
-
-def test_edition_and_era(spark):
-    c = spark.createDataFrame([(1, "a", "Pro", "pro"), (1, "b", "Pro Vault", "pro"), (1, "c", "LE", "pro"), (2, "x", "LE", "pro"), (2, "y", None, "pro")], "d int, m string, label string, tok string")
-    got = {r.d: (r.ids, r.scope) for r in linker.choose_edition(c, "d", "m", "label", "tok").collect()}
-    assert got == {1: (["a"], "single-edition"), 2: (["x", "y"], "franchise-wide")}
-    e = spark.createDataFrame([(1, "g1", 1990, 1990), (1, "g2", 2010, 1990), (2, "g1", 1990, 1990), (2, "g2", 1990, 1990)], "d int, g string, y int, w int")
-    assert [(r.d, r.g) for r in linker.choose_era(e, "d", "g", "y", "w").collect()] == [(1, "g1")]

@@ -2,33 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiltyard.functions import text as X
 from tiltyard.operators import relational as R
 from tiltyard.session import cut
 
 #: States that a new run leaves as they are.
 TERMINAL = ("linked", "manually_linked", "platform_generic", "needs_review")
-#: File name marks of editions, first match wins.
-EDITION_MARKERS = [("70th", "70th anniversary"), ("60th", "60th anniversary"), ("30th", "30th anniversary"), ("_sle_", "super le"), ("_ve_", "vault"), ("_vault_", "vault"), ("_pro_", "pro"), ("-pro-", "pro"), ("_le_", "limited"), ("-le-", "limited"), ("_prem", "premium"), ("-prem", "premium"), ("premium", "premium")]
-
 
 def link(docs: DataFrame, row: str, tiers: dict[str, str], machines: DataFrame, mid: str, title: str, group: str, status: str | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """(row, status, tier, ids): documents linked by the first tier that resolves.
 
-    tiers: name -> column with the text of the tier, in order (slug, file name, page one, page two). An override comes first:
+    tiers: name -> column with the text of the tier, in order (slug, file name, page one, page two); null texts say nothing. An override comes first:
     its machine, or platform_generic where it names none. A tier that is ambiguous sends the document to needs_review unless a
     later one resolves it; nothing found is not_in_catalog. Documents in a terminal state are returned as they are.
     """
     d = docs if status is None else docs.filter(~F.coalesce(F.col(status).isin(*TERMINAL), F.lit(False)))
-    found = None
-    for i, (name, col) in enumerate(tiers.items()):
-        r = R.resolve_titles(d.select(row, F.col(col).alias("_t")), row, "_t", machines, mid, title, group)
-        r = r.filter("status <> 'NoMatch'").select(row, F.lit(i + 1).alias("n"), F.lit(name).alias("tier"), F.col("status").alias("s"), "ids")
-        found = r if found is None else found.unionByName(r)
-    found = cut(found, "tiers")  # read twice
+    # all tiers in one column, so that titles are resolved in one pass; a document's tier is found again by its number
+    tier = F.element_at(F.array(*(F.lit(n) for n in tiers)), F.col("_q.n"))
+    texts = F.array(*(F.struct(F.lit(i + 1).alias("n"), F.col(c).alias("t")) for i, c in enumerate(tiers.values())))
+    asked = d.select(row, F.explode(texts).alias("x")).filter("x.t is not null").select(F.struct(F.col(row).alias("row"), F.col("x.n").alias("n")).alias("_q"), F.col("x.t").alias("_t")).distinct()
+    r = R.resolve_titles(asked, "_q", "_t", machines, mid, title, group).filter("status <> 'NoMatch'")
+    found = cut(r.select(F.col("_q.row").alias(row), F.col("_q.n").alias("n"), tier.alias("tier"), F.col("status").alias("s"), "ids"), "tiers")  # read twice
     good = found.filter("s in ('Resolved', 'Family')").groupBy(row).agg(F.min_by(F.struct("tier", "ids"), "n").alias("g"))
     unsure = found.filter("s = 'Ambiguous'").groupBy(row).agg(F.max_by(F.struct("tier", "ids"), "n").alias("u"))
     j = d.select(row).join(good, row, "left").join(unsure, row, "left")
@@ -52,28 +48,3 @@ def fan_out(links: DataFrame, row: str, machines: DataFrame, mid: str) -> DataFr
     bad = j.filter("known is null").select(row).distinct().withColumn("_b", F.lit(True))
     scope = F.when(F.col("n") == 1, "single-edition").otherwise("franchise-wide")
     return j.join(bad, row, "left").select(row, mid, F.when(F.col("_b"), "failed").otherwise("linked").alias("status"), F.when(F.col("_b"), "machine_not_found").alias("error"), scope.alias("scope"))
-
-
-def edition_of(filename: Column, page_text: Column, link_text: Column) -> Column:
-    """The edition that a document is for: by page text, then file name, then link text; none for documents of a whole group."""
-    whole = F.rlike(F.lower(F.coalesce(link_text, F.lit(""))), "feature matrix|rule ?sheet|rulebook")
-    pad = F.concat(F.lit(" "), F.lower(link_text), F.lit(" "))
-    words = [(" pro ", "pro"), (" premium ", "premium"), (" le ", "limited"), (" limited edition ", "limited")]
-    return F.when(~whole, F.coalesce(X.first_marker(page_text, [("limited edition", "limited"), ("premium edition", "premium"), ("pro edition", "pro")]), X.first_marker(filename, EDITION_MARKERS), X.first_marker(pad, words)))
-
-
-def choose_edition(candidates: DataFrame, row: str, mid: str, label: str, token: str) -> DataFrame:
-    """(row, ids, scope): the candidate that holds the token with fewest words of its label, if it is unique; else all (franchise-wide)."""
-    c = candidates.withColumn("_w", X.label_tokens(F.coalesce(F.col(label), F.lit(""))))
-    hold = c.filter(F.col(token).isNotNull() & F.array_contains("_w", F.col(token))).withColumn("_n", F.size("_w"))
-    least = hold.groupBy(row, "_n").agg(F.collect_set(mid).alias("ids")).groupBy(row).agg(F.min_by("ids", "_n").alias("one"))
-    every = c.groupBy(row).agg(F.array_sort(F.collect_set(mid)).alias("all"))
-    j = every.join(least, row, "left")
-    unique = F.coalesce(F.size("one") == 1, F.lit(False))
-    return j.select(row, F.when(unique, F.col("one")).otherwise(F.col("all")).alias("ids"), F.when(unique | (F.size("all") == 1), "single-edition").otherwise("franchise-wide").alias("scope"))
-
-
-def choose_era(candidates: DataFrame, row: str, group: str, year: str, wanted: str) -> DataFrame:
-    """(row, group): the only group of the wanted year among a title's candidates; several or none give no row."""
-    c = candidates.filter(F.col(year) == F.col(wanted)).groupBy(row).agg(F.count_distinct(group).alias("n"), F.min(group).alias("g"))
-    return c.filter("n = 1").select(row, F.col("g").alias(group))

@@ -74,15 +74,6 @@ def outcome_counters(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "index_state").groupBy(F.coalesce("skip_reason", F.lit("Indexed")).alias("outcome")).agg(F.count("*").alias("documents"), F.sum("chunk_count").alias("chunks"))
 
 
-@q("""select document_url, hits, best, row_number() over (order by best desc nulls last, document_url)::int as place from (select document_url, count(distinct hit_id) hits, max(score) best from search_hits where document_url is not null group by 1)
-    order by best desc nulls last, document_url limit 100""")
-def citation_groups(s: SparkSession, d: str) -> DataFrame:
-    """Documents by their best score: the top hundred with their place."""
-    g = T(s, d, "search_hits").filter("document_url is not null").groupBy("document_url").agg(F.count_distinct("hit_id").alias("hits"), F.max("score").alias("best"))
-    top = g.orderBy(F.desc_nulls_last("best"), "document_url").limit(100)
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc_nulls_last("best"), "document_url")))
-
-
 @q("""select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M') as bucket, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, count(*) as n from events group by 1""")
 def percentiles_by_hour(s: SparkSession, d: str) -> DataFrame:
     e = T(s, d, "events").groupBy(F.date_format(rollup.time_bucket(F.col("ts"), "1 hour"), "yyyy-MM-dd HH:mm").alias("bucket"))

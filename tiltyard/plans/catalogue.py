@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tiltyard.functions import jsonshape, phonetic
 from tiltyard.functions import text as X
-from tiltyard.operators import answers, catalog, linker
+from tiltyard.operators import answers, catalog, rules
 from tiltyard.operators import predicates as P
 from tiltyard.plans.registry import Registry
 from tiltyard.session import table as T
@@ -92,13 +92,12 @@ def json_shapes(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "events").select("event_id", jsonshape.shape_of(F.col("props"), [("tournament", ["tournamentId", "name"]), ("counter", ["K"])]).alias("shape"))
 
 
-@q("""select change_id, case when contains(f, '_pro_') or contains(f, '-pro-') then 'pro' when contains(f, '_le_') or contains(f, '-le-') then 'limited' when contains(f, 'premium') then 'premium' end as edition_mark, case when edition is null then 'franchise-wide' else 'single-edition' end as scope
-    from (select change_id, edition, '_' || replace(lower(edition), ' ', '_') || '_' f from scraped_changes)""".replace("or contains(f, '-le-')", "or contains(f, '-le-')"))
+@q(f"""select change_id, case {" ".join(f"when contains(f, '{n}') then '{v}'" for n, v in rules.FILE_MARKS)} end as edition_mark, case when edition is null then 'franchise-wide' else 'single-edition' end as scope
+    from (select change_id, edition, '_' || replace(lower(edition), ' ', '_') || '_' f from scraped_changes)""")
 def edition_marks(s: SparkSession, d: str) -> DataFrame:
     """Edition marks of file names, first match wins."""
     f = F.concat(F.lit("_"), F.replace(F.lower("edition"), F.lit(" "), F.lit("_")), F.lit("_"))
-    marks = [m for m in linker.EDITION_MARKERS if m[0] in ("_pro_", "-pro-", "_le_", "-le-", "premium")]
-    return T(s, d, "scraped_changes").select("change_id", X.first_marker(f, marks).alias("edition_mark"), F.when(F.col("edition").isNull(), "franchise-wide").otherwise("single-edition").alias("scope"))
+    return T(s, d, "scraped_changes").select("change_id", X.first_marker(f, rules.FILE_MARKS).alias("edition_mark"), F.when(F.col("edition").isNull(), "franchise-wide").otherwise("single-edition").alias("scope"))
 
 
 @q()

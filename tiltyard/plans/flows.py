@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tiltyard.operators import answers, linker, retrieval, sinks
 from tiltyard.plans.registry import Registry
+from tiltyard.plans.relational import RESOLVE_SQL, title_key_sql
 from tiltyard.session import scratch
 from tiltyard.session import table as T
 from tiltyard.streaming import feed
@@ -42,7 +43,7 @@ def stream_windows(s: SparkSession, d: str) -> DataFrame:
     df = T(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e, cp = _stream(s, df, 2)
     out = scratch(s, "windows")
-    w = feed.windowed_counts(e, "ts", "event_type", late="36500 days")
+    w = feed.windowed_counts(e, "ts", "event_type", late="30 days")
     query = w.writeStream.outputMode("complete").foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", cp).trigger(availableNow=True).start()
     query.awaitTermination()
     return s.read.parquet(out).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
@@ -58,19 +59,32 @@ def ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
     return feed.ingest_outcomes(T(s, d, "scraped_changes"), st, "document_id", "content_hash", "document_type", ["Manual", "Rulesheet", "ServiceBulletin"]).select("change_id", "outcome")
 
 
-@q()
+_LINKED = f"""t as (select doc_id, title, case when title = 'Service Library' then 'platform_generic' end st, string_split(text, chr(10)) l, source from documents),
+    tiers as (select doc_id, 1 n, title x from t union all select doc_id, 2, l[1] from t union all select doc_id, 3, l[2] from t), q as (select distinct {{'d': doc_id, 'n': n}} row, {title_key_sql("x")} k from tiers where x is not null), {RESOLVE_SQL},
+    best as (select row.d d, arg_min({{'n': row.n, 'ids': ids}}, row.n) filter (status in ('Resolved', 'Family')) g, arg_max({{'n': row.n, 'ids': ids}}, row.n) filter (status = 'Ambiguous') u from resolved group by 1),
+    linked as (select doc_id, case when st is not null then st when source = 'spec_export' then 'manually_linked' when source = 'code_notes' then 'platform_generic' when g is not null then 'linked' when u is not null then 'needs_review' else 'not_in_catalog' end status,
+        case when st is not null then null when source in ('spec_export', 'code_notes') then 'override' else ['title', 'page_one', 'page_two'][coalesce(g, u).n] end tier,
+        case when st is not null or source = 'code_notes' then null when source = 'spec_export' then [(select min(opdb_id) from machines)] else coalesce(g, u).ids end ids from t left join best on d = doc_id)"""
+
+
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    ls = F.split("text", "\n")
+    t = T(s, d, "documents").select("doc_id", "title", F.get(ls, F.lit(0)).alias("l1"), F.get(ls, F.lit(1)).alias("l2"), "source", F.when(F.col("title") == "Service Library", "platform_generic").alias("state"))
+    first = T(s, d, "machines").agg(F.min("opdb_id").alias("machine"))
+    o = t.filter("state is null").filter(F.col("source").isin("spec_export", "code_notes")).select("doc_id", "source").join(first.withColumn("source", F.lit("spec_export")), "source", "left").select("doc_id", "machine")
+    return linker.link(t, "doc_id", {"title": "title", "page_one": "l1", "page_two": "l2"}, T(s, d, "machines"), "opdb_id", "title", "group_id", "state", o)
+
+
+@q(f"with {_LINKED} select doc_id, status, tier, array_to_string(ids, ',') as ids from linked")
 def link_documents(s: SparkSession, d: str) -> DataFrame:
-    """Documents linked to machines by title, then by the first line of their text."""
-    t = T(s, d, "documents").select("doc_id", "title", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"), F.when(F.col("title") == "Service Library", "platform_generic").alias("state"))
-    r = linker.link(t, "doc_id", {"title": "title", "page_one": "first_line"}, T(s, d, "machines"), "opdb_id", "title", "group_id", "state")
-    return r.select("doc_id", "status", "tier", F.array_join("ids", ",").alias("ids"))
+    """Documents linked by hand, by title, then by the lines that begin their text; those in a final state stay as they are."""
+    return _linked(s, d).select("doc_id", "status", "tier", F.array_join("ids", ",").alias("ids"))
 
 
-@q()
+@q(f"""with {_LINKED} select doc_id, opdb_id, 'linked' as status, null as error, case when len(ids) = 1 then 'single-edition' else 'franchise-wide' end as scope from (select doc_id, ids, unnest(ids) opdb_id from linked where status in ('linked', 'manually_linked'))""")
 def link_fan_out(s: SparkSession, d: str) -> DataFrame:
-    t = T(s, d, "documents").select("doc_id", "title")
-    m = T(s, d, "machines")
-    return linker.fan_out(linker.link(t, "doc_id", {"title": "title"}, m, "opdb_id", "title", "group_id"), "doc_id", m, "opdb_id")
+    """A row for each machine that a document is linked to."""
+    return linker.fan_out(_linked(s, d), "doc_id", T(s, d, "machines"), "opdb_id")
 
 
 @q("""select query_id, url, pos::int as pos, hit_id from (select query_id, lower(document_url) u, arg_max(document_url, (page_start is not null, -hit_id)) url, min(hit_id) pos, arg_max(hit_id, (page_start is not null, -hit_id)) hit_id from (select distinct query_id, document_url, hit_id, page_start from search_hits where document_url is not null) group by 1, 2)""")
@@ -88,12 +102,6 @@ def answer_guardrails(s: SparkSession, d: str) -> DataFrame:
     return answers.guardrails(e, "answer_text", "c", "duration_ms", 20000.0).select("result_id", "verdict")
 
 
-@q()
-def suggest_machines(s: SparkSession, d: str) -> DataFrame:
-    m = T(s, d, "machines").select("opdb_id", "title", "group_id").distinct()
-    return answers.suggest(m, "what is the hungry yeti manual", "opdb_id", "title", "group_id", 8).select("opdb_id", "title", "score")
-
-
 @q("""select letter_id, coalesce(attempt_count, 0) + 1 as attempt_count, substr(error_class, 1, 64) as error_class, substr(error_message, 1, 1024) as error_message from dead_letters""")
 def dead_letter_rows(s: SparkSession, d: str) -> DataFrame:
     return sinks.dead_letters(T(s, d, "dead_letters").withColumnRenamed("attempt_count", "prior"), "letter_id", "error_class", "error_message", "prior")

@@ -16,6 +16,23 @@ from tiltyard.session import table as T
 q = Registry()
 
 
+def title_key_sql(c: str) -> str:
+    """functions.text.title_key in SQL."""
+    for pat in ("([a-z])([A-Z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])", "([A-Z])([A-Z][a-z])"):
+        c = f"regexp_replace({c if 'regexp' in c else 'strip_accents(' + c + ')'}, '{pat}', '\\1 \\2', 'g')"
+    return f"trim(regexp_replace(lower(replace(regexp_replace({c}, '[''’]', '', 'g'), '&', ' and ')), '[^a-z0-9]+', ' ', 'g'))"
+
+
+_STRIP = "(?: (?:merlin edition|vault edition|limited edition|standard edition|remake|pinball|game kit|deposit|edition))+$"
+#: q(row, k) resolved to machines: (row, status, stage, ids).
+RESOLVE_SQL = f"""m as (select distinct * from (select opdb_id id, group_id g, {title_key_sql("title")} k from machines union all select opdb_id, group_id, {title_key_sql("regexp_replace(title, '(?:: | - ).*$', '')").replace("strip_accents(regexp", "(regexp")} from machines) where k <> ''),
+    hits as (select row, 0 s, id, g from q join m using (k) union all select row, 1, id, g from (select row, k k1, regexp_replace(k, '{_STRIP}', '') k2 from q) join m on m.k = k2 where k1 <> k2
+        union all select row, 2, id, g from (select row, id, g, len(string_split(m.k, ' ')) n from q join m on contains(' ' || q.k || ' ', ' ' || m.k || ' ') where q.k <> '' qualify n = max(n) over (partition by row))),
+    firsts as (select distinct row, s, id, g from hits qualify s = min(s) over (partition by row)),
+    resolved as (select row, s::int as stage, list_sort(list(distinct id)) ids, case when count(distinct id) = 1 then 'Resolved' when count(distinct g) = 1 and count(*) = count(g) then 'Family' else 'Ambiguous' end status from firsts group by 1, 2)"""
+
+
+
 # ---- scans and filters
 
 
@@ -245,7 +262,7 @@ def staged_match(s: SparkSession, d: str) -> DataFrame:
     return hit.groupBy("alias_id").agg(F.min("stage").alias("stage"), F.count_distinct("g").alias("groups"))
 
 
-@q()
+@q(f"""with q as (select alias_id row, {title_key_sql("alias")} k from alias_entries), {RESOLVE_SQL} select alias_id, coalesce(status, 'NoMatch') as status, stage, array_to_string(ids, ',') as ids from alias_entries left join resolved on row = alias_id""")
 def resolve_titles(s: SparkSession, d: str) -> DataFrame:
     """Aliases resolved to machines: exact, stripped, containment; Resolved, Family, Ambiguous or NoMatch."""
     r = R.resolve_titles(T(s, d, "alias_entries").select("alias_id", "alias"), "alias_id", "alias", T(s, d, "machines"), "opdb_id", "title", "group_id")
@@ -387,7 +404,9 @@ def attempt_budget(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "user_id", "prior", (F.col("prior") >= 3).alias("over_budget"))
 
 
-@q()
+@q("""with recursive o as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) n from events),
+    r as (select user_id, event_id, n, ts st, 1 used from o where n = 1 union all select o.user_id, o.event_id, o.n, case when o.ts - r.st >= interval '3600 seconds' then o.ts else r.st end, case when o.ts - r.st >= interval '3600 seconds' then 1 else r.used + 1 end from r join o on o.user_id = r.user_id and o.n = r.n + 1)
+    select event_id, user_id, used <= 3 as allowed from r""")
 def rate_limiter(s: SparkSession, d: str) -> DataFrame:
     """Hourly windows anchored at the first event after the last window, three events each."""
     return R.anchored_windows(T(s, d, "events").select("user_id", "ts", "event_id"), "user_id", "ts", 3600, 3).select("event_id", "user_id", "allowed")
