@@ -48,3 +48,17 @@ def test_defects_with_clashing_columns_and_long_texts(spark):
     got = {r.id: r.defect for r in pairs.defects(df, "id", "q", "a").collect()}
     assert got == {100: "empty", 101: "truncated", 103: "truncated"}
     assert pairs.defects(df.limit(0), "id", "q", "a").count() == 0
+
+
+def test_no_rule_is_hidden_by_the_cues():
+    import re
+
+    # sentences made of the rules: each alternative of each category in turn, gaps empty
+    def words(c):
+        return [re.sub(r"\\w[+*]|\(\?:|\)|\?", "", w) for w in re.split(r"\|(?![^(]*\))", pairs.LEXICON[c])]
+
+    said = [f"I {w} answer" for w in words("CANT")] + [f"I must {w} it" for w in words("DECLINE")] + [f"this cannot be {w}" for w in words("DONE")] + [f"beyond {w}" for w in words("REMIT")] + [f"we stick to {w}" for w in words("SUBJECT")]
+    said += [f"the pages {w}" for w in ("stay silent", "say nothing", "end before it", "stop short of it", "don't cover it", "lack it", "hold nothing")] + [f"sorry, {w}" for w in ("no", "not", "nothing")] + ["I have no idea", "I don't know", "there is no record", "nothing was found", "not appropriate"]
+    said += ["je ne peux pas", "aucune source", "kann ich nicht", "keine Angaben", "no puedo", "ninguna fuente", "non posso", "nessuna fonte", "kan ik niet", "geen bron", "não sei", "lo siento", "mi dispiace", "helaas", "leider", "désolé"]
+    hidden = [s for s in said if any(r.search(s) for _, r in pairs.REFUSALS) and not pairs.refuses(s)]
+    assert not hidden and sum(bool(pairs.refuses(s)) for s in said) > 40

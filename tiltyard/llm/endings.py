@@ -60,6 +60,19 @@ def _mix(*parts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+_MASK = (1 << 64) - 1
+_MULTS = tuple(int(m) for m in _M)
+
+
+def _mix_one(*parts: int) -> int:
+    """_mix of single keys."""
+    out = 0
+    for m, p in zip(_MULTS, parts):
+        out = ((out ^ (p * m & _MASK)) * _MULTS[1]) & _MASK
+        out ^= out >> 29
+    return out - (1 << 64) if out >> 63 else out
+
+
 def last_tokens(text: str, least: int = 2000) -> list[str]:
     """The tokens of the last unit of a text, however long it is, with at least five tokens and what stands before it.
 
@@ -82,9 +95,8 @@ def keys_of_end(text: str, hashes: _Hashes) -> list[int]:
     last = t[cut + 1 :]
     h = [hashes[x] for x in (["\n"] * 4 + t)[-5:]]
     head = [hashes[x] for x in [*last, "\n", "\n"][:2]]
-    one = lambda *x: int(_mix(*(np.array([v], np.uint64) for v in x))[0])
-    k3 = one(h[2], h[3], h[4])
-    return [one(h[3], h[4]), k3, one(one(h[0], h[1], h[2]) % (1 << 64), h[3], h[4]), one(head[0], head[1], 1, 2)]
+    k5 = _mix_one(_mix_one(h[0], h[1], h[2]) & _MASK, h[3], h[4])
+    return [_mix_one(h[3], h[4]), _mix_one(h[2], h[3], h[4]), k5, _mix_one(head[0], head[1], 1, 2)]
 
 
 def candidate_bits(ends: DataFrame, keys: str) -> bytes:
@@ -206,15 +218,17 @@ def finished(text: str) -> tuple[str, str]:
     t = text.rstrip()
     if not t:
         return "blank", t
-    m = MARKERS.search(t)
+    # each pattern is tried only on texts that end in a character with which it can end
+    m = MARKERS.search(t) if t[-1] in ")]>»eEgG" else None
     if m:
         rest = t[: m.start()].rstrip()
         return ("stop" if rest[-1:] in TERMINALS else "marker"), rest
-    m = DOTS.search(t)
+    m = DOTS.search(t) if t.endswith(("...", "…", "&hellip;")) else None
     if m:
         return "dots", t[: m.start()].rstrip()
-    if re.search(r"&#?\w{0,7}$|<[/\w][^<>]*$|<$", t[-80:]):
+    tag = t.rfind("<")
+    if tag >= 0 and (tag == len(t) - 1 or t.find(">", tag) < 0 and (t[tag + 1] == "/" or t[tag + 1].isalnum() or t[tag + 1] == "_")) or re.search(r"&#?\w{0,7}$", t[-9:]):
         return "markup", t
-    if t.rstrip(CLOSERS)[-1:] in TERMINALS or _CITATION.sub("", t).rstrip(CLOSERS)[-1:] in TERMINALS:
+    if t.rstrip(CLOSERS)[-1:] in TERMINALS or t[-1] in ")]" and _CITATION.sub("", t).rstrip(CLOSERS)[-1:] in TERMINALS:
         return "stop", t
     return "open", t

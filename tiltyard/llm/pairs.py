@@ -21,8 +21,11 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;")
 
 def is_empty(answer: str | None) -> bool:
     """No content: null, blank, invisible characters, empty markup, marks without a letter or digit, or a null word alone."""
-    bare = "".join(c for c in _TAG.sub("", answer or "") if c.isalnum()).lower() if len(answer or "") < 200 or "<" in answer else answer
-    return not any(c.isalnum() for c in bare) or bare in NULL_WORDS
+    a = answer or ""
+    if len(a) > 200 and "<" not in a and "&" not in a:
+        return not _WORD.search(a)
+    bare = re.sub(r"[\W_]+", "", _TAG.sub("", a)).lower()
+    return not bare or bare in NULL_WORDS
 
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
@@ -230,6 +233,23 @@ def _rule(r: str) -> re.Pattern:
 
 
 REFUSALS = [(c, _rule(r)) for c, r in REFUSAL_RULES]
+#: Every refusal holds one of these, in small letters and with a blank before and behind it: a clause without any needs no rule tried.
+_CUES = (
+    "n't", " no ", " not ", " no:", " no,", "nothing", "cannot", "can not", "unable", "unwilling", "decline", "refuse", " pass ", " skip", " leave", "rather", "prefer", "silent", "lack", "beyond", "outside", "not within", "out of",
+    "end before", "ends before", "stop before", "stops before", "short of", "stick", "keep", "limit", "confine", "restrict", "only answer", "only cover", "only discuss", "only handle", "'ve no", "have no",
+    " pas", "rien", "aucun", "guère", "je ne", "impossible", "dépasse", " hors ", "désol", "nicht", "kein", "außerhalb", "leid", "ninguna", "fuera", "siento", "lamento", " non ", "nessuna", "fuori", "dispiace", "purtroppo",
+    "niet", "geen", "buiten", "helaas", "spijt", " não", "infelizmente", "desculpe",
+)
+
+
+def refuses(clause: str) -> str | None:
+    """The category of the first rule that makes a clause a refusal; null for others."""
+    low = f" {clause.lower()} "
+    if not any(c in low for c in _CUES):
+        return None
+    return next((c for c, r in REFUSALS if r.search(clause)), None)
+
+
 _OFFER = re.compile(r"^(?:is there|anything|can I|could I|would you|may I|do you|shall I|please|try|you (?:may|might|could)|feel free|let me know|consult|contact|ask|y a-t-il|kann ich|puedo|posso)\b[^.!]*\?$|^(?:please|try|feel free|let me know|contact|consult|ask)\b", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+|\n+")
 _NOISE = re.compile(r"\s*(?:\[\d+\]|\(p\.? ?\d+\))\s*$")
@@ -242,7 +262,7 @@ def is_refusal(answer: str) -> bool:
         s = s.strip()
         if not s or _OFFER.search(s):
             continue
-        if any(r.search(s) for _, r in REFUSALS):
+        if refuses(s):
             found = True
         elif len(_WORD.findall(s)) > 2:
             return False
@@ -381,7 +401,7 @@ def defects(df: DataFrame, row: str, question: str, answer: str) -> DataFrame:
                     kind, rest = shape_of_end(a)
                     if kind in ("cut", "marker", "markup"):
                         d = "truncated"
-                    else:
+                    elif kind in ("open", "dots"):
                         k = endings.keys_of_end(rest, hashes)
                 out.append(d)
                 kinds.append(kind)
