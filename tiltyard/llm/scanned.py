@@ -326,6 +326,7 @@ class Model:
     fix: dict[str, str] | _Part
     running: frozenset[str] | Store
     plain: dict[str, bool] = field(default_factory=dict)
+    fixed: dict[str, bool] = field(default_factory=dict)
     total: int = 0
 
     def fits(self, line: str) -> bool:
@@ -338,11 +339,12 @@ class Model:
         """The line is a running one of the corpus: with the chunk's own title and maker, or, where it has none, with any name."""
         if _RIGHTS.match(line):
             return True
-        if line.endswith(_CLOSED):
+        # patterns begin and end otherwise
+        if line.endswith(_CLOSED) or line[:1].islower():
             return False
         name = " ".join((title or "").split()).lower()
         low = " ".join(line.split()).lower()
-        repairable = any(core(w)[1] in self.fix for w in low.split(" "))
+        repairable = any(map(self.is_fixed, low.split(" ")))
         # all patterns hold the title: without it, and without a word to correct, a line is none
         if name and name in low and line_pattern(line, title, maker) in self.running:
             return True
@@ -360,6 +362,15 @@ class Model:
             return 1.0, "header"
         return None
 
+    def is_fixed(self, token: str) -> bool:
+        """A token that has a correction."""
+        got = self.fixed.get(token)
+        if got is None:
+            if len(self.fixed) > 500_000:
+                self.fixed.clear()
+            got = self.fixed[token] = core(token)[1] in self.fix
+        return got
+
     def is_plain(self, token: str) -> bool:
         """A token that decoding would keep as it is: a word of the corpus, or no word at all."""
         got = self.plain.get(token)
@@ -438,9 +449,12 @@ class Stream:
     def __init__(self, lines: list[str], skips: dict[int, tuple[float, str]]):
         self.tokens: list[str] = []
         self.line: list[int] = []
+        self.ends: dict[int, int] = {}  # first token of a line -> token after it
         self.skip: dict[int, tuple[int, float, str]] = {}  # first token of a line -> (token after it, cost, noise)
         for i, x in enumerate(lines):
             ts = x.split()
+            if ts:
+                self.ends[len(self.tokens)] = len(self.tokens) + len(ts)
             if i in skips and ts:
                 self.skip[len(self.tokens)] = (len(self.tokens) + len(ts), *skips[i])
             self.tokens += ts
@@ -487,11 +501,20 @@ def best_path(s: Stream, m: Model) -> tuple[list[tuple[int, str]], set[str]]:
             joined[k] = s.hyphen(k, m)
         return joined[k] is not None
 
+    known, skip, ends = m.plain.get, s.skip, s.ends
     while i < n:
-        if i not in s.skip and m.is_plain(ts[i]) and not broken(i):
-            out.append((s.line[i], ts[i]))
-            i += 1
-            continue
+        if i not in skip:
+            to = ends.get(i)
+            if to and ts[to - 1][-1] not in HYPHENS and all(map(known, ts[i:to])):
+                # a line of plain tokens
+                line = s.line[i]
+                out += [(line, t) for t in ts[i:to]]
+                i = to
+                continue
+            if m.is_plain(ts[i]) and not broken(i):
+                out.append((s.line[i], ts[i]))
+                i += 1
+                continue
         best: dict[int, tuple[float, int, list[tuple[int, str]], tuple[str, ...]]] = {i: (0.0, i, [], ())}
         k = far = i
         while k < n and (k <= far and not (k == far and k > i and k not in s.skip and m.is_plain(ts[k]) and not broken(k))):
