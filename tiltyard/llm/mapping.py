@@ -109,24 +109,57 @@ class Index:
         self.forms = [(list(ws), keys) for ws, keys in surface_forms(entries, rules).items()]
         self.weights, self.idf = whole or list_weights(entries, rules)
         self.bounds = Bounds([ws for ws, _ in self.forms], self.weights)
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.postings: dict[str, dict[int, float]] = defaultdict(dict)
         for i, (ws, _) in enumerate(self.forms):
             v = {g: c * self.idf[g] for g, c in grams(ws).items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
             for g, x in v.items():
-                postings[g].append((i, x / norm))
-        self.postings = {g: (np.array([i for i, _ in p], np.int64), np.array([x for _, x in p])) for g, p in postings.items()}
+                self.postings[g][i] = x / norm
+        self._read: dict[tuple[str, ...], dict[str, float]] = {}
 
-    def cosines(self, ws: list[str]) -> np.ndarray:
-        """The weighted cosine of each form."""
+    def cosines(self, ws: list[str], ids: list[int] | None = None) -> list[float]:
+        """The weighted n-gram cosine of some forms, or of all, by the postings of the value's n-grams."""
+        ids = list(range(len(self.forms))) if ids is None else ids
         v = {g: c * self.idf.get(g, 1.0) for g, c in grams(ws).items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        out = np.zeros(len(self.forms))
-        for g, x in v.items():
-            if g in self.postings:
-                ids, y = self.postings[g]
-                out[ids] += x * y / norm
-        return out
+        lists = [(x / norm, p) for g, x in v.items() if (p := self.postings.get(g))]
+        return [sum(x * p[i] for x, p in lists if i in p) for i in ids]
+
+    def _scored(self, ws: list[str]) -> dict[str, float]:
+        """key -> score of the entries that are the best for one reading of a value, or within the margin of it.
+
+        Forms are compared in the order of what they could score at most, until none left could be the best or near it. Values
+        that are read as the same words share the work.
+        """
+        key = tuple(ws)
+        got = self._read.get(key)
+        if got is not None:
+            return got
+        most = 0.98 * self.bounds.upper(ws) + 0.02
+        least = self.rules.accept - self.rules.margin
+        best: dict[str, float] = {}
+        top = 0.0
+        high = np.flatnonzero(most > least)
+        rounds = [high[np.argsort(-most[high], kind="stable")]]
+        for order in rounds:
+            if len(order):
+                cos = dict(zip(order.tolist(), self.cosines(ws, order.tolist()))) if len(order) <= 64 else None
+                for i in order.tolist():
+                    # a form that can't come within the margin of acceptance matters only as the best score of an unmatched value
+                    if most[i] <= (top - self.rules.margin if most[i] > least else max(top, 0.02 + 1e-8)):
+                        break
+                    form, keys = self.forms[i]
+                    s = 0.98 * likeness(ws, form, self.weights) + 0.02 * (cos[i] if cos else self.cosines(ws, [i])[0])
+                    for k, cost in keys.items():
+                        best[k] = max(best.get(k, 0.0), s - cost)
+                        top = max(top, best[k])
+            if len(rounds) == 1 and top < self.rules.accept:
+                rounds.append(np.argsort(-np.where(most > least, -1.0, most), kind="stable")[: len(most) - len(high)])
+        got = {k: s for k, s in best.items() if s > top - self.rules.margin}
+        if len(self._read) >= 50_000:
+            self._read.clear()
+        self._read[key] = got
+        return got
 
     def _variants(self, value: str) -> list[list[str]]:
         out = [words(value)]
@@ -141,27 +174,15 @@ class Index:
 
     def candidates(self, value: str, hint: str | None = None) -> list[tuple[str, str, float, bool]]:
         """(kind, key, score, made by hint) of the entries that could be meant: 'exact' the key itself, 'name' the best by name and
-        all within the margin of it, 'letters' those with these initials.
-
-        Forms are compared in the order of what they could score at most, until none left could be the best or near it.
-        """
+        all within the margin of it, 'letters' those with these initials."""
         bare = value.strip()
         if bare.lower() in self.keys:
             return [("exact", k, 1.0, False) for k in self.keys[bare.lower()]]
         best: dict[str, float] = {}
-        top = 0.0
         for ws in self._variants(value):
-            cos = self.cosines(ws)
-            most = 0.98 * self.bounds.upper(ws) + 0.02 * cos
-            for i in np.argsort(-most, kind="stable"):
-                # a form that can't come within the margin of acceptance matters only as the best score of an unmatched value
-                if most[i] <= (top - self.rules.margin if most[i] > self.rules.accept - self.rules.margin else max(top, 1e-8)):
-                    break
-                form, keys = self.forms[i]
-                s = 0.98 * likeness(ws, form, self.weights) + 0.02 * float(cos[i])
-                for k, cost in keys.items():
-                    best[k] = max(best.get(k, 0.0), s - cost)
-                    top = max(top, best[k])
+            for k, s in self._scored(ws).items():
+                best[k] = max(best.get(k, 0.0), s)
+        top = max(best.values(), default=0.0)
         out = [("name", k, s) for k, s in best.items() if s > top - self.rules.margin]
         if self.rules.initials and bare.isupper():
             out += [("letters", k, 0.9) for k in self.exact_initials.get(bare.replace(".", "").lower(), ())]
