@@ -123,8 +123,9 @@ def runs(df: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame
 def anchored_windows(df: DataFrame, key: str, at: str, seconds: int, cap: int) -> DataFrame:
     """Rate limiter: windows start at the first event after the last one expired; the first `cap` events of a window pass.
 
-    The anchor depends on all events before, so each key is walked in order (one key's events in one task); keys are
-    independent. Output: the rows with window_start and allowed.
+    The anchor depends on the events before, up to the last pause as long as a window: whatever came before it, the event behind
+    it starts a new one. So keys are cut at their pauses, and each thousand stretches between them are walked in order by
+    themselves; a key with many events is spread over several tasks. Output: the rows with window_start and allowed.
     """
     import pandas as pd
 
@@ -141,4 +142,7 @@ def anchored_windows(df: DataFrame, key: str, at: str, seconds: int, cap: int) -
             ok.append(used <= cap)
         return f.assign(window_start=starts, allowed=ok)
 
-    return df.groupBy(key).applyInPandas(walk, fields)
+    w = W.partitionBy(key).orderBy(at)
+    pause = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp")) >= seconds * 1_000_000
+    parts = df.withColumn("_p", F.coalesce(pause, F.lit(True)).cast("int")).withColumn("_g", F.floor((F.sum("_p").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1) / 1000))
+    return parts.groupBy(key, "_g").applyInPandas(lambda f: walk(f.drop(columns=["_p", "_g"])), fields)

@@ -16,19 +16,24 @@ def unit(df: DataFrame, vec: str) -> DataFrame:
 def knn(queries: DataFrame, corpus: DataFrame, row: str, vec: str, k: int, block: int = 2000) -> DataFrame:
     """(query, row, score, rank): the k nearest rows of each query by cosine, itself left out; ties by row.
 
-    Queries go to the workers in blocks of at most `block` vectors, each worker keeps the best k of its rows for each query, and
-    only those are shuffled: k rows per query and task, whatever the size of the corpus. Null vectors match nothing.
+    Queries go to the workers in blocks of about `block` vectors, by a hash of their ids, so that no more than a block is in the
+    driver at a time: the neighbours of a block are written to the shared folder before the next is read. Each worker keeps the
+    best k of its rows for each query, and only those are shuffled: k rows per query and task, whatever the size of the corpus.
+    Null vectors match nothing.
     """
     import numpy as np
     import pandas as pd
 
-    qs = [(r[0], r[1]) for r in queries.filter(F.col(vec).isNotNull()).select(row, vec).collect()]
+    from tiltyard.session import cut
+
+    asked = queries.filter(F.col(vec).isNotNull()).select(row, vec)
+    n = max(1, -(-asked.count() // block))
     row_type = corpus.schema[row].dataType.simpleString()
     schema = f"query {queries.schema[row].dataType.simpleString()}, `{row}` {row_type}, score double"
     c = corpus.filter(F.col(vec).isNotNull()).select(F.col(row).alias("i"), F.col(vec).alias("v"))
     out = None
-    for at in range(0, max(1, len(qs)), block):
-        part = qs[at : at + block]
+    for at in range(n):
+        part = [(r[0], r[1]) for r in (asked if n == 1 else asked.filter(F.pmod(F.xxhash64(row), F.lit(n)) == at)).collect()]
 
         def run(frames, part: list = part):  # noqa: ANN001, ANN202
             ids = np.array([q for q, _ in part])
@@ -48,9 +53,14 @@ def knn(queries: DataFrame, corpus: DataFrame, row: str, vec: str, k: int, block
                 yield pd.DataFrame({"query": ids[a], row: own[b], "score": s[a, b]})
 
         d = c.mapInPandas(run, schema)
+        d = d if n == 1 else cut(_nearest(d, row, k), "neighbours")
         out = d if out is None else out.unionByName(d)
+    return _nearest(out, row, k) if n == 1 else out
+
+
+def _nearest(scored: DataFrame, row: str, k: int) -> DataFrame:
     w = W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), row)
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def tokens(df: DataFrame, row: str, text: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tiltyard.functions import text as X
 from tiltyard.operators import answers, catalog, rules
 from tiltyard.operators import predicates as P
 from tiltyard.plans.registry import Registry
+from tiltyard.plans.relational import title_key_sql
 from tiltyard.session import table as T
 
 q = Registry()
@@ -34,7 +35,17 @@ def sync_stale(s: SparkSession, d: str) -> DataFrame:
     return catalog.sync(export, T(s, d, "machines").filter("removed_at is null"), "opdb_id")["stale"]
 
 
-@q()
+_STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+@q(f"""with v as (select distinct opdb_id, manufacturer m, unnest([title, regexp_replace(title, '(?i)\\s+and\\s+', ' & ', 'g'), regexp_replace(title, '\\s*&\\s*', ' and ', 'g')]) t from machines),
+    look as (select distinct unnest([translate(lower(trim(t)), '/\\?#', '____'), translate(lower(trim(m || ' ' || t)), '/\\?#', '____')]) k, opdb_id from v),
+    qs as (select distinct alias_id, translate(lower(trim(alias)), '/\\?#', '____') k, string_split(trim(regexp_replace(regexp_replace(lower(alias), '[''’]s\\b', '', 'g'), '[^a-z0-9]+', ' ', 'g')), ' ') ws from alias_entries where alias is not null),
+    w as (select alias_id, unnest(list_distinct(case when len(list_filter(ws, lambda x: x not in ({_STOP}))) = 0 then ws else list_filter(ws, lambda x: x not in ({_STOP})) end)) w from qs where ws <> ['']),
+    mw as (select distinct opdb_id, f, w from (select opdb_id, (year is not null)::int + (edition_label is not null)::int + (opdb_source_url is not null)::int f, unnest(string_split({title_key_sql("title")}, ' ')) w from machines) where w not in ({_STOP})),
+    sh as (select alias_id, opdb_id, count(*) n, max(f) f from w join mw using (w) group by 1, 2), hits as (select alias_id, 0 s, opdb_id from qs join look using (k) union all select alias_id, 1, opdb_id from (select alias_id, regexp_replace(k, '^\\S+\\s+', '') k from qs) join look using (k)
+        union all select alias_id, 2, opdb_id from (select *, row_number() over (partition by alias_id order by n desc, f desc, opdb_id) p from sh) where p = 1)
+    select alias_id, min(opdb_id) as opdb_id, s::int as stage from hits qualify true group by alias_id, s having s = (select min(s) from hits h where h.alias_id = hits.alias_id)""".replace(" qualify true", ""))
 def find_titles(s: SparkSession, d: str) -> DataFrame:
     """The machine that each alias names, by the lookup cascade."""
     full = P.completeness(F.col("year").isNotNull(), F.col("edition_label").isNotNull(), F.col("opdb_source_url").isNotNull())
@@ -53,7 +64,14 @@ def reconcile_titles(s: SparkSession, d: str) -> DataFrame:
     return g.select("document_id", F.when(F.col("groups") == 1, F.col("g")).alias("group_id"), "groups")
 
 
-@q()
+def _compact(c: str) -> str:
+    c = f"regexp_replace(lower(strip_accents({c})), '[^a-z0-9]', '', 'g')"
+    return f"coalesce(nullif(regexp_replace({c}, '({'|'.join(X.TRAILING_QUALIFIERS)})$', ''), ''), {c})"
+
+
+@q(f"""with c as (select distinct group_id g, manufacturer_key m, {_compact("title")} k1, {_compact("regexp_replace(title, '(?:: | - ).*$', '')")} k2 from machines), s as (select distinct document_id, manufacturer m, {_compact("machine_title")} k1, {_compact("regexp_replace(machine_title, ' *\\([^)]*\\) *$', '')")} k2 from scraped_changes where machine_title is not null),
+    h as (select document_id, 0 st, g from s join c using (m, k1) union all select document_id, 1, c.g from s join c on s.m = c.m and s.k2 = c.k2), f as (select * from h qualify st = min(st) over (partition by document_id))
+    select document_id, case when count(distinct g) = 1 then min(g) end as group_id, case when count(distinct g) > 1 then 'ambiguous' when st = 0 then 'title' else 'franchise' end as how from f group by document_id, st""")
 def reconcile_games(s: SparkSession, d: str) -> DataFrame:
     c = T(s, d, "scraped_changes").filter("machine_title is not null").select("document_id", F.col("machine_title").alias("title"), F.col("manufacturer").alias("manufacturer_key")).distinct()
     return catalog.reconcile(c, T(s, d, "machines"), "document_id", "title", "manufacturer_key", "opdb_id", "group_id")
