@@ -50,6 +50,17 @@ def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must keep: all texts have a container, none is over capacity, only texts that exceed one are split, and
+    the containers are at least 95 % full."""
+    p = packing.pack(table(spark, sf, "documents"), "doc_id", "text")
+    bins = p.groupBy("container").agg(F.sum("size").alias("used"))
+    texts = p.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("size").alias("tokens"))
+    b = bins.agg(F.count_if(F.col("used") > 2048).alias("over"), (F.sum("used") >= 0.95 * 2048 * (F.count("*") - 1)).alias("full"))
+    t = texts.agg(F.count("*").alias("texts"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= 2048)).alias("split"))
+    return t.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").select("texts", "over", "split", "full")
+
+
 def _p9(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "heldout_items"), "doc_id", "text", "item_id", "text")
 
@@ -71,7 +82,7 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
     return truncated.by_source(truncated.cut_texts(table(spark, sf, "documents"), "doc_id", "text", "source"), "source")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p7_found, p7_text, p8_containers, p9_found, p9_items, p10_found, p10_sources)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_confidence, p3_found, p6_found, p6_unmatched, p7_found, p7_text, p8_containers, p8_summary, p9_found, p9_items, p10_found, p10_sources)}
 _P9 = """
 with w as (select item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) ws from heldout_items),
      d as (select doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) ws from documents),
@@ -79,6 +90,7 @@ with w as (select item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+
      gd as (select doc_id, array_to_string(ws[k:k + 12], ' ') g from d, unnest(range(1, len(ws) - 11)) r(k))"""
 
 ORACLE: dict[str, str] = {
+    "p8_summary": "select count(distinct doc_id) as texts, 0::bigint as over, 0::bigint as split, true as full from documents",
     "p9_found": _P9 + " select distinct item_id, doc_id from gi join gd using (g)",
     "p9_items": _P9
     + """, per as (select item_id, doc_id, count(distinct gd.g) n from gi join gd using (g) group by 1, 2)
