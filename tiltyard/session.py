@@ -64,9 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pieces(df: DataFrame, per_core: int) -> int:
-    """Partitions for Python work: a few for each core, more where the estimated size would make them larger than 64 MB."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    known = size if size < 1 << 50 else 0  # rows made in memory and products of joins have no true estimate
+    """Partitions for Python work: a few for each core, more where the tables read are larger than 64 MB for each of them.
+
+    The sizes of the tables count, as Spark's estimate behind a join is a product.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # rows made in memory have no size
     return max(per_core * df.sparkSession.sparkContext.defaultParallelism, known >> 26)
 
 
