@@ -13,7 +13,7 @@ def token(spark, f, p=None, l=None):  # noqa: E741
 
 
 def test_edition_tokens(spark):
-    assert [token(spark, f) for f in ("x_le_y.pdf", "x_pro_vault_y.pdf", "x_brk_y.pdf", "x_sle_y.pdf", "x_ve_y.pdf", "a-70th-b.pdf", "x_premium.pdf", "plain.pdf", None)] == ["le", "pro", "brk", "sle", "ve", "70th", "premium", None, None]
+    assert [token(spark, f) for f in ("x_le_y.pdf", "x_pro_vault_y.pdf", "x_brk_y.pdf", "x_sle_y.pdf", "x_ve_y.pdf", "a-70th-b.pdf", "x_premium.pdf", "plain.pdf", None)] == ["le", "vault", "brk", "sle", "ve", "70th", "premium", None, None]
     assert token(spark, "x_pro_y.pdf", "LE Manual") == "le" and token(spark, "x.pdf", None, "Game Pro Flyer") == "pro" and token(spark, "x.pdf", None, "galaxy") is None
     assert token(spark, "x_pro_rulesheet.pdf") is None and token(spark, "x_pro_y.pdf", None, "Feature Matrix") is None
 
