@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -95,8 +96,8 @@ def resolve_titles(queries: DataFrame, row: str, title: str, machines: DataFrame
     return queries.select(row).join(done, row, "left").select(row, F.coalesce("status", F.lit("NoMatch")).alias("status"), "stage", "ids")
 
 
-def fixpoint(seed: DataFrame, edges: DataFrame, src: str, dst: str, most: int = 10) -> DataFrame:
-    """(node, pass): nodes reached from seed over edges, with the pass that added them; ends when a pass adds none, or after `most`.
+def fixpoint(seed: DataFrame, edges: DataFrame, src: str, dst: str, most: int | None = None) -> DataFrame:
+    """(node, pass): nodes reached from seed over edges, with the pass that added them; ends when a pass adds none, or after `most` passes where that is given.
 
     Each pass is written to the shared folder, so lineage stays short and lost executors cost one pass.
     """
@@ -104,7 +105,7 @@ def fixpoint(seed: DataFrame, edges: DataFrame, src: str, dst: str, most: int =
 
     reached = cut(seed.select(F.col(seed.columns[0]).alias("node")).filter("node is not null").distinct().withColumn("pass", F.lit(0)), "fix")
     front = reached
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         new = edges.join(front.select(F.col("node").alias(src)), src).select(F.col(dst).alias("node")).filter("node is not null").distinct().join(reached, "node", "left_anti").withColumn("pass", F.lit(k))
         front = cut(new, "fix")
         if not front.take(1):
