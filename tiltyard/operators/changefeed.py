@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from tiltyard.session import committed, cut, scratch
+from tiltyard.session import committed, cut, input_bytes, scratch
 
 #: Spellings of the operations, lower case.
 DELETE_OPS = ("delete", "d", "tombstone", "remove", "del")
@@ -169,14 +169,14 @@ class MergeOnReadTable:
         return rows.select(F.col("key").alias(key), *(held(i).alias(v) for i, v in enumerate(self.values)))
 
 
-def apply_feed(changes: DataFrame, key: str, op: str, seq: str, ts: str, arrival: str, values: list[str], batches: int = 3, buckets: int = 16) -> DataFrame:
+def apply_feed(changes: DataFrame, key: str, op: str, seq: str, ts: str, arrival: str, values: list[str], batches: int = 3, buckets: int | None = None) -> DataFrame:
     """The current rows (key, values) after all changes, applied in batches by time of arrival (null: last).
 
     Equal positions of a key are repeats. Where repeats disagree, the greatest value wins, whatever the order of delivery. An
-    empty feed gives an empty table. Columns of the feed beyond those named are not read.
+    empty feed gives an empty table. buckets: one for each 64 MB of the feed, if not given. Columns of the feed beyond those named are not read.
     """
     spark = changes.sparkSession
-    t = MergeOnReadTable(spark, scratch(spark, "mor"), values, buckets)
+    t = MergeOnReadTable(spark, scratch(spark, "mor"), values, buckets or max(4, input_bytes(changes) >> 26))
     at = F.unix_micros(F.col(arrival).cast("timestamp"))
     q = changes.select(F.percentile_approx(at, [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else None
     bounds = sorted(set(q or []))

@@ -57,13 +57,15 @@ def superset_titles(df: DataFrame, title: str, group: str) -> DataFrame:
 def longest_containment(texts: DataFrame, row: str, text_key: str, names: DataFrame, name_key: str) -> DataFrame:
     """(row, name_key, words): the names with most words that stand in a text as whole words.
 
-    Texts are cut to runs of words as long as the names are, and joined on the run: an equi-join whose size follows the texts.
+    Names meet the texts that hold their rarest word (by the number of names with it), in an equi-join on words whose size follows
+    the texts; whether the whole name stands there is then looked up in the text.
     """
-    n = names.select(F.col(name_key).alias("k")).filter("k <> ''").distinct().withColumn("m", F.size(F.split("k", " ")))
-    most = n.agg(F.max("m")).first()[0] or 0
-    ws = F.split(text_key, " ")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(max(1, most))), lambda m: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ws) - m + 1)), lambda i: F.array_join(F.slice(ws, i, m), " "))))
-    hits = texts.select(row, F.explode(F.array_distinct(runs)).alias("k")).join(n, "k")
+    n = names.select(F.col(name_key).alias("k")).filter("k <> ''").distinct()
+    ws = n.select("k", F.explode(F.array_distinct(F.split("k", " "))).alias("w"))
+    rare = ws.join(ws.groupBy("w").agg(F.count("*").alias("df")), "w").groupBy("k").agg(F.min(F.struct("df", "w")).alias("r"))
+    n = rare.select("k", F.col("r.w").alias("w"), F.size(F.split("k", " ")).alias("m"))
+    t = texts.select(row, F.col(text_key).alias("_x"), F.explode(F.array_distinct(F.split(text_key, " "))).alias("w"))
+    hits = t.join(n, "w").filter(X.word_contains(F.col("_x"), F.col("k"))).select(row, "k", "m").distinct()
     best = hits.withColumn("_b", F.max("m").over(W.partitionBy(row))).filter("m = _b")
     return best.select(row, F.col("k").alias(name_key), F.col("m").alias("words"))
 

@@ -63,15 +63,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pieces(df: DataFrame, per_core: int) -> int:
-    """Partitions for Python work: a few for each core, more where the tables read are larger than 64 MB for each of them.
-
-    The sizes of the tables count, as Spark's estimate behind a join is a product.
-    """
+def input_bytes(df: DataFrame) -> int:
+    """The size of the tables that df reads. (Spark's own estimate behind a join is a product.)"""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    known = sum(s for s in sizes if s < 1 << 60)  # rows made in memory have no size
-    return max(per_core * df.sparkSession.sparkContext.defaultParallelism, known >> 26)
+    return sum(s for s in sizes if s < 1 << 60)  # rows made in memory have no size
+
+
+def _pieces(df: DataFrame, per_core: int) -> int:
+    """Partitions for Python work: a few for each core, more where the tables read are larger than 64 MB for each of them."""
+    return max(per_core * df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) >> 26)
 
 
 def spread(df: DataFrame, *by: str, per_core: int = 3) -> DataFrame:
