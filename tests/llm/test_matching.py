@@ -94,3 +94,35 @@ def test_added_words_are_those_of_sources_not_of_titles(spark):
     got = matching.added_words(spark.createDataFrame(rows, "title string"), "title", TITLES)
     assert got == {"service", "bulletin", "rules"}
     assert matching.added_words(spark.createDataFrame([], "title string"), "title", []) == frozenset()
+
+
+def _open_documents(spark, noisy=40):
+    rng = np.random.default_rng(5)
+    t0 = dt.datetime(2025, 1, 1)
+    cat = catalogue()
+    machines = spark.createDataFrame([(f"{g}-M1", g, t, m, k, y, t0) for g, t, m, k, y in cat], "opdb_id string, group_id string, title string, manufacturer string, manufacturer_key string, year int, first timestamp")
+    rows = [(f"r{i}", f"{g}-M1", t, k) for i, (g, t, m, k, y) in enumerate(cat)] + [(f"u{i}", None, matching._noisy(t, rng), m) for i, (g, t, m, k, y) in enumerate(cat[:noisy])]
+    return spark.createDataFrame(rows, "document_id string, machine_id string, machine_title string, manufacturer string"), machines
+
+
+def test_nothing_is_fitted_on_a_part_of_the_rows(spark):
+    changes, machines = _open_documents(spark)
+    run = lambda c: {r.document_id: (r.group_id, r.confidence) for r in matching.match_documents(changes, machines, c).collect()}
+    whole = run(matching.Config())
+    assert len(whole) >= 36
+    for c in (matching.Config(sample=2, labelled=2), matching.Config(block=20)):
+        got = run(c)
+        assert got.keys() == whole.keys() and all(got[k][0] == g and abs(got[k][1] - p) < 3e-4 for k, (g, p) in whole.items()), c
+
+
+def test_tables_give_the_model_of_their_rows_however_parted(spark):
+    cat = catalogue()
+    typed = [(f"{matching._noisy(t, np.random.default_rng(i))} Zq{i}", m if i % 3 else None) for i, (_, t, m, *_) in enumerate(cat)] + [("Opal Comet (1999)", None), ("1984", None), ("...", "x"), (" ".join(f"w{i}" for i in range(5000)), None)]
+    lab = [(t, k if i % 2 else None, g) for i, (g, t, m, k, y) in enumerate(cat)]
+    c = matching.Config(sample=2, labelled=2)
+    want = matching.train(cat, typed, lab, c)
+    assert {f"w:zq{i}" for i in range(len(cat))} | {"w:w4999", "y:1999"} <= want.ids.keys()
+    for n in (1, 7):
+        rows = spark.createDataFrame([(t, m, y) for _, t, m, _, y in cat], "title string, maker string, year int").repartition(n)
+        got, _ = matching.fit(rows, spark.createDataFrame(typed, "title string, maker string").repartition(n), spark.createDataFrame(lab, "title string, maker string, group_id string").repartition(n), [cat], frozenset(), c, f"t{n}")
+        assert got.ids == want.ids and (got.vectors == want.vectors).all() and np.abs(got.coef - want.coef).max() < 1e-3

@@ -1,18 +1,20 @@
 """Matching records across sources without keys.
 
-Random walks over a record - attribute - token graph train skip-gram vectors of the tokens (words and character trigrams);
-records are weighted means of their tokens. Several tables of random hyperplanes give each record its blocks; candidates of a
-block get their exact cosine and, all of them that could reach the least confidence by a bound of it, their soft weighted cosine
-over words; a logistic model calibrates both cosines, with the agreement of maker and year, to a confidence.
+Walks over a record - attribute - token graph give the vectors of the tokens (words and character trigrams): what random
+directions a walk from the token meets, as the expectation over all walks and all records. Records are weighted means of their
+tokens. Several tables of random hyperplanes give each record its blocks; candidates of a block get their exact cosine and, all
+of them that could reach the least confidence by a bound of it, their soft weighted cosine over words; a logistic model, fitted
+on all labelled rows, calibrates both cosines, with the agreement of maker and year, to a confidence.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -23,29 +25,28 @@ from pyspark.sql import functions as F
 
 from tiltyard.llm.mapping import RULES
 from tiltyard.llm.strings import Bounds, Weights, likeness, word_likeness, words
-from tiltyard.session import spread
+from tiltyard.session import cut, spread
 
 _YEAR = re.compile(r"[\[(]?\s*(?:'(\d\d)|\b((?:19|20)\d\d))\b\s*[\])]?")
 _NUMERALS = {"2": "ii", "3": "iii", "4": "iv", "5": "v"}
 _LIGHT = frozenset("the and of a".split())
 _MAKER_LIGHT = RULES["manufacturer"].light
+#: Sums over rows are taken in whole numbers of one part in this, so they don't depend on the order of the rows.
+_UNIT = 1 << 30
 
 
 @dataclass(frozen=True)
 class Config:
-    """sample: typed titles that train the vectors, at most, with four times as many records of the catalogue; labelled: rows that train the confidence, at most.
+    """window: steps of the walks that count.
 
-    least: the confidence below which a title says nothing for a group.
+    least: the confidence below which a title says nothing for a group. sample and labelled are not read any more (callers still
+    give them): vectors and confidence are fitted on all rows.
     """
 
     sample: int = 2500
     labelled: int = 700
-    walks: int = 6
-    steps: int = 5
     window: int = 2
     dim: int = 48
-    epochs: int = 3
-    negatives: int = 4
     tables: int = 24
     bits: int = 8
     least: float = 0.02
@@ -111,77 +112,62 @@ def features(title_words: list[str]) -> Counter:
     return out
 
 
-def walk_pairs(records: list[tuple[list[str], str | None, int | None]], c: Config) -> tuple[list[str], np.ndarray]:
-    """Token names and the (centre, context) pairs of walks record -> attribute -> token -> attribute -> record ..."""
-    rng = np.random.default_rng(c.seed)
-    attrs: list[list[str]] = []
-    tokens_of: dict[str, list[str]] = {}
-    holders: dict[str, list[str]] = defaultdict(list)
-    records_of: dict[str, list[int]] = defaultdict(list)
-    for i, (tw, maker, year) in enumerate(records):
-        mine = ["t:" + " ".join(tw)] + (["m:" + maker] if maker else []) + ([f"y:{year}"] if year else [])
-        attrs.append(mine)
-        for a in mine:
-            if a not in tokens_of:
-                tokens_of[a] = list(features(tw)) if a[0] == "t" else [f"w:{w}" for w in words(a[2:])] if a[0] == "m" else [a]
-                for t in tokens_of[a]:
-                    holders[t].append(a)
-            records_of[a].append(i)
-    names: dict[str, int] = {}
-    seqs: list[list[int]] = []
-    for start in range(len(records)):
-        for _ in range(c.walks):
-            r, seq = start, []
-            for _ in range(c.steps):
-                mine = attrs[r]
-                a = mine[0] if len(mine) == 1 or rng.random() < 0.7 else mine[int(rng.integers(1, len(mine)))]
-                ts = tokens_of[a]
-                if not ts:
-                    break
-                # two tokens of the attribute, then on to another attribute that holds the second
-                for _ in range(2):
-                    t = ts[int(rng.integers(len(ts)))]
-                    seq.append(names.setdefault(t, len(names)))
-                hs = holders[t]
-                a = hs[int(rng.integers(len(hs)))]
-                rs = records_of[a]
-                r = rs[int(rng.integers(len(rs)))]
-            seqs.append(seq)
-    flat = np.array([t for q in seqs for t in q], np.int32)
-    walk = np.repeat(np.arange(len(seqs), dtype=np.int32), [len(q) for q in seqs])
-    out = []
-    for o in range(1, c.window + 1):
-        near = (walk[:-o] == walk[o:]) & (flat[:-o] != flat[o:])
-        a, b = flat[:-o][near], flat[o:][near]
-        out += [np.stack([a, b], 1), np.stack([b, a], 1)]
-    return list(names), np.concatenate(out) if len(flat) > c.window else np.zeros((0, 2), np.int32)
-
-
-def skip_gram(n: int, pairs: np.ndarray, c: Config) -> np.ndarray:
-    """Vectors by skip-gram with negative sampling, in minibatches."""
-    rng = np.random.default_rng(c.seed)
-    u = ((rng.random((n, c.dim)) - 0.5) / math.sqrt(c.dim)).astype(np.float32)
-    v = ((rng.random((n, c.dim)) - 0.5) / math.sqrt(c.dim)).astype(np.float32)
-    if not len(pairs):
-        return u
-    p = np.bincount(pairs[:, 1], minlength=n).astype(float) ** 0.75
-    cum = np.cumsum(p / p.sum())
-    size = 8192
-    for epoch in range(c.epochs):
-        rate = 0.25 * (1 - epoch / c.epochs) + 0.02
-        for at in range(0, len(pairs), size):
-            b = pairs[rng.integers(0, len(pairs), min(size, len(pairs)))]
-            i, j = b[:, 0], b[:, 1]
-            k = np.minimum(np.searchsorted(cum, rng.random((len(b), c.negatives))), n - 1)
-            ui, vj, vk = u[i], v[j], v[k]
-            gp = 1 / (1 + np.exp(-np.einsum("bd,bd->b", ui, vj))) - 1
-            gk = 1 / (1 + np.exp(-np.einsum("bd,bkd->bk", ui, vk)))
-            du = gp[:, None] * vj + np.einsum("bk,bkd->bd", gk, vk)
-            for m, idx, g in ((u, i, du), (v, j, gp[:, None] * ui), (v, k.ravel(), (gk[:, :, None] * ui[:, None, :]).reshape(-1, c.dim))):
-                order = np.argsort(idx, kind="stable")
-                s, first, cnt = np.unique(idx[order], return_index=True, return_counts=True)
-                m[s] -= rate * np.add.reduceat(g[order], first, axis=0) / np.sqrt(cnt)[:, None]
-    return u
+Record = tuple[list[str], str | None, int | None]
+
+
+def chances(title_words: list[str], maker: str | None, year: int | None) -> dict[str, float]:
+    """The tokens that a walk goes to from a record, with their chances: 0.7 its title, else maker or year; of these any token."""
+    rest = [ts for ts in ([f"w:{w}" for w in words(maker or "")], [f"y:{year}"] if year else []) if ts]
+    out: dict[str, float] = defaultdict(float)
+    for share, ts in [(0.7 if rest else 1.0, sorted(features(title_words))), *((0.3 / len(rest), ts) for ts in rest)]:
+        for t in ts:
+            out[t] += share / len(ts)
+    return out
+
+
+def visits(records: Iterable[Record]) -> Counter:
+    """How often walks that start at each record once meet each token, in units."""
+    out: Counter = Counter()
+    for r in records:
+        for t, z in chances(*r).items():
+            out[t] += round(z * _UNIT)
+    return out
+
+
+def walk(records: Iterable[Record], ids: dict[str, int], x: np.ndarray, size: int = 2_000) -> np.ndarray:
+    """One step token - record - token: for each token the sum, over the records that hold it, of what x is at the record's tokens, in units."""
+    out = np.zeros(x.shape, np.int64)
+    it = iter(records)
+    while block := [chances(*r) for _, r in zip(range(size), it)]:
+        t = np.array([ids[k] for z in block for k in z], np.int64)
+        z = np.array([p for z in block for p in z.values()])[:, None]
+        n = np.array([len(b) for b in block])
+        at = np.add.reduceat(z * x[t], np.cumsum(n) - n, axis=0)
+        got = np.rint(z * np.repeat(at, n, axis=0) * _UNIT).astype(np.int64)
+        order = np.argsort(t, kind="stable")
+        some, first = np.unique(t[order], return_index=True)
+        out[some] += np.add.reduceat(got[order], first, axis=0)
+    return out
+
+
+def token_vectors(met: dict[str, int], step: Callable[[dict[str, int], np.ndarray], np.ndarray], c: Config) -> tuple[dict[str, int], np.ndarray]:
+    """(number of each token, vectors): its own direction, and the mean directions of what walks from it meet after 1 to c.window steps.
+
+    met: visits of all records; step: walk over all records. The directions of tokens met everywhere tell nothing apart: each
+    counts by the inverse square root of its visits, and the mean over all visits is taken off.
+    """
+    ids = {t: i for i, t in enumerate(sorted(met))}
+    if not ids:
+        return ids, np.zeros((0, c.dim), np.float32)
+    d = np.array([met[t] for t in ids], float)[:, None] / _UNIT
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    own = np.array([_direction(t, c.dim) for t in ids], float)
+    out, x = own.copy(), own / np.sqrt(np.maximum(d, 1.0))
+    for _ in range(c.window):
+        x = step(ids, x) / _UNIT / d
+        x -= (d * x).sum(axis=0) / d.sum()
+        out += unit(x)
+    return ids, unit(out).astype(np.float32)
 
 
 @lru_cache(maxsize=50_000)
@@ -193,7 +179,8 @@ def _direction(token: str, dim: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    vectors: dict[str, np.ndarray]
+    ids: dict[str, int]
+    vectors: np.ndarray
     idf: dict[str, float]
     planes: np.ndarray
     config: Config
@@ -204,9 +191,8 @@ class Model:
         """Weighted mean of the token vectors; tokens never seen get a fixed random direction each, so they tell records apart."""
         out = np.zeros(self.config.dim, np.float32)
         for t, n in features(title_words).items():
-            x = self.vectors.get(t)
-            if x is None:
-                x = _direction(t, self.config.dim)
+            i = self.ids.get(t)
+            x = _direction(t, self.config.dim) if i is None else self.vectors[i]
             out += n * self.idf.get(t, 1.0) * x
         norm = float(np.linalg.norm(out))
         return out / norm if norm else out
@@ -218,11 +204,32 @@ class Model:
         return signs @ (1 << np.arange(c.bits))
 
 
+Row = tuple[str, str, str | None, str | None, int | None]
+
+
+def forms(title: str | None) -> list[tuple[list[str], float]]:
+    """(words, cost) of the forms of a catalogue title: whole, and what stands before a colon or dash."""
+    head = re.match(r"^(.+?)(?:\s*:\s+|\s+-\s+)", title or "")
+    return [(ws, cost) for ws, cost in ((words(title or ""), 0.0), (words(head[1]) if head else [], 0.06)) if ws]
+
+
+class Names:
+    """What is counted over the whole catalogue, however it is parted: weights of words, makers and their words."""
+
+    def __init__(self, rows: list[Row]):
+        whole = {(key, tuple(ws)): cost for key, title, *_ in reversed(rows) for ws, cost in reversed(forms(title))}
+        self.weights = Weights([list(ws) for (_, ws), cost in whole.items() if not cost], _LIGHT)
+        self.makers = {m: words(m) for _, _, maker, maker_key, _ in rows for m in (maker, maker_key) if m}
+        self.maker_words = {w for ws in self.makers.values() for w in ws if len(w) > 3 and w not in _MAKER_LIGHT}
+        self.maker_w = Weights([*self.makers.values()], _MAKER_LIGHT)
+
+
 class Catalogue:
-    """The records of the reference side: vectors, blocks and words."""
+    """The records of the reference side, or of a part of it with the names of the whole: vectors, blocks and words."""
 
-    def __init__(self, rows: list[tuple[str, str, str | None, str | None, int | None]], model: Model):
+    def __init__(self, rows: list[Row], model: Model, names: Names | None = None):
         self.model = model
+        names = names or Names(rows)
         self.keys: list[str] = []
         self.words: list[list[str]] = []
         self.cost: list[float] = []
@@ -233,19 +240,14 @@ class Catalogue:
             mk = tuple(x for x in (maker, maker_key) if x)
             if year:
                 self.years[key].add(year)
-            head = re.match(r"^(.+?)(?:\s*:\s+|\s+-\s+)", title or "")
-            for ws, cost in ((words(title or ""), 0.0), (words(head[1]) if head else [], 0.06)):
-                if ws and (key, tuple(ws)) not in seen:
+            for ws, cost in forms(title):
+                if (key, tuple(ws)) not in seen:
                     seen[key, tuple(ws)] = len(self.keys)
                     self.keys.append(key)
                     self.words.append(ws)
                     self.cost.append(cost)
                     self.maker.append(mk)
-        self.weights = Weights([w for w, k in zip(self.words, self.cost) if not k], _LIGHT)
-        makers = {m: words(m) for mk in self.maker for m in mk}
-        self.maker_words = {w for ws in makers.values() for w in ws if len(w) > 3 and w not in _MAKER_LIGHT}
-        self.maker_w = Weights([*makers.values()], _MAKER_LIGHT)
-        self.makers = makers
+        self.weights, self.makers, self.maker_words, self.maker_w = names.weights, names.makers, names.maker_words, names.maker_w
         self.x = np.array([model.embed(w) for w in self.words], np.float32).reshape(-1, model.config.dim)
         self.tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(model.config.tables)]
         if len(self.x):
@@ -377,63 +379,159 @@ def _noisy(title: str, rng: np.random.Generator) -> str:
     return "".join(t)
 
 
-def train(catalogue: list[tuple[str, str, str | None, str | None, int | None]], typed: list[tuple[str, str | None]], labelled: list[tuple[str, str | None, str]], c: Config, whole: list[tuple[str, str, str | None, str | None, int | None]] | None = None, added: frozenset[str] = frozenset()) -> Model:
-    """Vectors from the walks over both sides' sampled records, idf from the whole catalogue; the confidence from labelled rows.
+def examples(index: Catalogue, labelled: Iterable[tuple[str, str | None, str]]) -> Iterator[tuple[tuple[str, str | None, str], float, np.ndarray]]:
+    """(labelled row, 1 its own key or 0 another, features): what the confidence learns from.
 
     Each labelled (title, maker, key) gives its key as a positive, with and without typing errors, and the nearest other key,
     once its own is left out, as a negative: what a title that describes nothing in the catalogue would be matched to.
     """
-    recs = [(words(t or ""), m, y) for _, t, m, _, y in catalogue if t]
-    recs += [(words(parse_title(t)[0]), m, parse_title(t)[1]) for t, m in typed]
-    names, pairs = walk_pairs([r for r in recs if r[0]], c)
-    u = skip_gram(len(names), pairs, c)
-    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-9)
-    titles = [t for _, t, *_ in (catalogue if whole is None else whole) if t]
+    for row in labelled:
+        title, maker, key = row
+        rng = np.random.default_rng([index.model.config.seed, zlib.crc32("\0".join(x or "" for x in row).encode("utf-8", "surrogatepass"))])
+        t, y = parse_title(title)
+        mk = maker if rng.random() < 0.7 else None
+        for label, got in ((1.0, index.nearest(_noisy(t, rng), mk, y, of=key)), (0.0, index.nearest(_noisy(t, rng), mk, y, without=key))):
+            if got is not None:
+                yield row, label, got
+
+
+#: Logistic regression is drawn towards what typed names are like where labels say nothing (labelled titles carry no years).
+_PRIOR, _STRENGTH = np.array([-17.0, 2.0, 18.0, 1.0, 2.0]), np.array([0.05, 0.5, 0.05, 1.0, 4.0])
+
+
+def newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Coefficients of the logistic model. sums(w): gradient and Hessian of all examples at w."""
+    w = _PRIOR.copy()
+    for _ in range(50):
+        g, h = sums(w)
+        step = np.linalg.solve(h + np.diag(_STRENGTH), g + _STRENGTH * (w - _PRIOR))
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _model(ids: dict[str, int], vectors: np.ndarray, titles: list[str], c: Config, added: frozenset[str]) -> Model:
+    """The model without its confidence; idf from the titles of the whole catalogue."""
     df = Counter(f for t in titles for f in features(words(t)))
     idf = {t: math.log(1 + len(titles) / n) for t, n in df.items()}
     planes = np.random.default_rng(c.seed).standard_normal((c.tables * c.bits, c.dim)).astype(np.float32)
-    mean = u.mean(axis=0)
-    model = Model({t: x - mean for t, x in zip(names, u)}, idf, planes, c)
-    model.added = added
-    cat = Catalogue(catalogue, model)
-    rng = np.random.default_rng(c.seed)
-    xs, ys = [], []
-    for title, maker, key in labelled:
-        t, y = parse_title(title)
-        mk = maker if rng.random() < 0.7 else None
-        own = cat.nearest(_noisy(t, rng), mk, y, of=key)
-        if own is not None:
-            xs.append(own)
-            ys.append(1.0)
-        other = cat.nearest(_noisy(t, rng), mk, y, without=key)
-        if other is not None:
-            xs.append(other)
-            ys.append(0.0)
-    # logistic regression drawn towards what typed names are like where labels say nothing (labelled titles carry no years)
-    prior = np.array([-17.0, 2.0, 18.0, 1.0, 2.0])
-    w = prior.copy()
-    if xs:
-        x, y = np.array(xs), np.array(ys)
-        strength = np.array([0.05, 0.5, 0.05, 1.0, 4.0])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-x @ w))
-            grad = x.T @ (p - y) + strength * (w - prior)
-            h = (x * np.maximum(p * (1 - p), 1e-3)[:, None]).T @ x + np.diag(strength)
-            step = np.linalg.solve(h, grad)
-            w -= step
-            if np.abs(step).max() < 1e-6:
-                break
-    model.coef = w
+    return Model(ids, vectors, idf, planes, c, added=added)
+
+
+def train(catalogue: list[Row], typed: list[tuple[str, str | None]], labelled: list[tuple[str, str | None, str]], c: Config, whole: list[Row] | None = None, added: frozenset[str] = frozenset()) -> Model:
+    """The model of rows at hand: vectors from the walks over both sides' records, idf from the whole catalogue; the confidence from labelled rows."""
+    recs = [(words(t or ""), m, y) for _, t, m, _, y in catalogue]
+    recs += [(words(parse_title(t)[0]), m, parse_title(t)[1]) for t, m in typed]
+    recs = [r for r in recs if r[0]]
+    ids, vectors = token_vectors(visits(recs), lambda ids, x: walk(recs, ids, x), c)
+    model = _model(ids, vectors, [t for _, t, *_ in (catalogue if whole is None else whole) if t], c, added)
+    got = [(x, y) for _, y, x in examples(Catalogue(catalogue, model), labelled)]
+    x, y = np.array([x for x, _ in got]).reshape(-1, 5), np.array([y for _, y in got])
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = 1 / (1 + np.exp(-x @ w))
+        return x.T @ (p - y), (x * np.maximum(p * (1 - p), 1e-3)[:, None]).T @ x
+
+    model.coef = newton(sums)
     return model
 
 
+def _records(frames: Iterable[pd.DataFrame]) -> Iterator[Record]:
+    """The records of frames (title, maker, year, typed): typed titles hold their year."""
+    for f in frames:
+        for title, maker, year, typed in f.itertuples(index=False):
+            title, own = parse_title(title) if typed else (title, None if year is None or year != year else int(year))
+            ws = words(title)
+            if ws:
+                yield ws, maker, own
+
+
+def _sums(df: DataFrame, exprs: list) -> list[int]:
+    """Sums of doubles over all rows, in units."""
+    r = df.agg(*(F.sum(F.round(e * _UNIT).cast("bigint")).alias(f"s{i}") for i, e in enumerate(exprs))).first()
+    return [x or 0 for x in r]
+
+
+_index: dict[tuple[str, int], Catalogue] = {}
+
+
+def _part(name: str, i: int, rows: list[Row], model: Model, names: Names) -> Catalogue:
+    """The index of a part of the catalogue: a worker keeps the last one it made for its next tasks."""
+    if (name, i) not in _index:
+        _index.clear()
+        _index[name, i] = Catalogue(rows, model, names)
+    _index[name, i].model = model
+    return _index[name, i]
+
+
+def fit(catalogue: DataFrame, typed: DataFrame, labelled: DataFrame, blocks: list[list[Row]], added: frozenset[str], c: Config, name: str) -> tuple[Model, Names]:
+    """The model of whole tables: catalogue and typed (title, maker, year), labelled (title, maker, group_id).
+
+    Visits and walks are sums over all records, the confidence sums over all labelled rows, taken where the rows are: what comes
+    to the driver is a number and a vector for each token of the vocabulary, and 20 sums for each step of the regression.
+    """
+    recs = catalogue.select("title", "maker", "year", F.lit(False).alias("typed")).unionByName(typed.select("title", "maker", F.lit(None).cast("int").alias("year"), F.lit(True).alias("typed")))
+    recs = cut(spread(recs, "title", "maker", "year"), "p2-records")
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame(visits(_records(frames)).items(), columns=["t", "n"]).astype({"t": str, "n": "int64"})
+
+    met = {r["t"]: r["n"] for r in recs.mapInPandas(meet, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    cols = [f"d{i}" for i in range(c.dim)]
+
+    def step(ids: dict[str, int], x: np.ndarray) -> np.ndarray:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            got = walk(_records(frames), ids, x)
+            at = np.flatnonzero(got.any(axis=1))
+            yield pd.DataFrame(got[at], columns=cols).assign(t=at)[["t", *cols]]
+
+        sums = recs.mapInPandas(run, "t long, " + ", ".join(f"{d} long" for d in cols)).groupBy("t").agg(*(F.sum(d).alias(d) for d in cols)).toPandas()
+        out = np.zeros(x.shape, np.int64)
+        out[sums["t"].to_numpy(np.int64)] = sums[cols].to_numpy(np.int64)
+        return out
+
+    ids, vectors = token_vectors(met, step, c)
+    every = [r for b in blocks for r in b]
+    model, names = _model(ids, vectors, [t for _, t, *_ in every if t], c, added), Names(every)
+
+    feats = ["likeness", "cosine", "maker_says", "year_says"]
+    rows, found = cut(spread(labelled, "title", "maker", "group_id"), "p2-labelled"), None
+    for i, part in enumerate(blocks):
+        def run(frames: Iterator[pd.DataFrame], i: int = i, part: list = part) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                got = examples(_part(name, i, part, model, names), f.itertuples(index=False, name=None))
+                yield pd.DataFrame([(*r, y, x[2], x[1], x[3], x[4]) for r, y, x in got], columns=["title", "maker", "group_id", "label", *feats])
+
+        d = rows.mapInPandas(run, "title string, maker string, group_id string, label double, " + ", ".join(f"{k} double" for k in feats))
+        found = d if found is None else found.unionByName(d)
+    if len(blocks) > 1:  # the likest of all parts
+        found = found.groupBy("title", "maker", "group_id", "label").agg(F.max(F.struct(*feats)).alias("x")).select("label", "x.*")
+    found = cut(found.select("label", *feats), "p2-examples")
+    x = [F.lit(1.0), *(F.col(k) for k in ("cosine", "likeness", "maker_says", "year_says"))]
+    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = sum((F.lit(float(a)) * b for a, b in zip(w, x)), F.lit(0.0))
+        p = found.withColumn("p", 1 / (1 + F.exp(-z))).withColumn("v", F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-3)))
+        got = np.array(_sums(p, [(F.col("p") - F.col("label")) * a for a in x] + [F.col("v") * x[i] * x[j] for i, j in pairs]), float) / _UNIT
+        h = np.zeros((5, 5))
+        for (i, j), s in zip(pairs, got[5:]):
+            h[i, j] = h[j, i] = s
+        return got[:5], h
+
+    model.coef = newton(sums)
+    return model, names
+
+
 def match_documents(changes: DataFrame, machines: DataFrame, c: Config = Config()) -> DataFrame:
     """(document_id, group_id, confidence) of documents that were never resolved and whose titles describe a game of the catalogue.
 
     Titles and makers of a document's changes are put together; distinct (title, maker, year) are matched once. Null and blank
     titles describe nothing. A title that several groups share is told apart by maker and year; where these don't tell, the
     document does not appear. Documents without a confident match do not appear. Repeated rows change nothing. The catalogue
-    goes to the workers in blocks of at most c.block records, so what is sent is bounded and no record is left out.
+    goes to the workers in blocks of at most c.block records, so what is sent is bounded and no record is left out. Vectors,
+    weights and confidence are of all records and all labelled rows (fit).
     """
     spark = changes.sparkSession
     ch = changes.select("document_id", "machine_id", F.nullif(F.trim("machine_title"), F.lit("")).alias("title"), F.nullif(F.trim("manufacturer"), F.lit("")).alias("maker")).filter("document_id is not null")
@@ -447,14 +545,12 @@ def match_documents(changes: DataFrame, machines: DataFrame, c: Config = Config(
         blocks = [[tuple(r) for r in rows.filter(F.pmod(F.xxhash64("group_id"), F.lit(n)) == i).collect()] for n in [-(-rows.count() // c.block) * 2] for i in range(n)]
     else:
         blocks = [cat]
-    order = F.xxhash64("title", F.coalesce("maker", F.lit("")))
-    typed = [(r[0], r[1]) for r in open_docs.filter("title is not null").select("title", "maker").distinct().orderBy(order, "title", "maker").limit(c.sample).collect()]
+    typed = open_docs.filter("title is not null").select("title", "maker").distinct()
     lab = ch.filter("title is not null and machine_id is not null").select("title", "maker", "machine_id").join(machines.select(F.col("opdb_id").alias("machine_id"), "group_id").distinct(), "machine_id")
-    labelled = [tuple(r) for r in lab.select("title", "maker", "group_id").distinct().orderBy(order, "title", "maker", "group_id").limit(c.labelled).collect()]
-    every = [r for b in blocks for r in b]
-    drawn = sorted(sorted(range(len(every)), key=lambda i: (zlib.crc32(f"{every[i][0]} {every[i][1]}".encode()), i))[: c.sample * 4])
-    added = added_words(ch.filter("title is not null").select("title").distinct(), "title", list({t for _, t, *_ in every}))
-    model = train([every[i] for i in drawn], typed, labelled, c, every, added)
+    labelled = lab.filter("group_id is not null").select("title", "maker", "group_id").distinct()
+    added = added_words(ch.filter("title is not null").select("title").distinct(), "title", list({t for b in blocks for _, t, *_ in b}))
+    name = uuid.uuid4().hex
+    model, names = fit(rows.select("title", F.col("manufacturer").alias("maker"), "year"), typed, labelled, blocks, added, c, name)
 
     # what all changes of a document say about maker and year
     said = open_docs.filter("maker is not null").groupBy("document_id").agg(F.max(F.struct("n", "maker")).getField("maker").alias("doc_maker"))
@@ -465,9 +561,9 @@ def match_documents(changes: DataFrame, machines: DataFrame, c: Config = Config(
     todo = spread(titles.select("title", "maker", "year").distinct(), "title", "maker")
 
     out = None
-    for part in blocks:
-        def run(frames: Iterator[pd.DataFrame], part: list = part) -> Iterator[pd.DataFrame]:
-            index = Catalogue(part, model)
+    for i, part in enumerate(blocks):
+        def run(frames: Iterator[pd.DataFrame], i: int = i, part: list = part) -> Iterator[pd.DataFrame]:
+            index = _part(name, i, part, model, names)
             for f in frames:
                 got = []
                 for t, m, y in f.itertuples(index=False):
